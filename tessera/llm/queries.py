@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import read_table
 
@@ -17,8 +18,35 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.line_dedup import dedup_lines
+
+    done = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.common import fresh_path, materialize
+    from tessera.llm.warc import read_archives, with_revisits, write_archives
+
+    pages = with_revisits(read_table(spark, sf_dir, "pages"))
+    manifest = materialize(write_archives(pages, fresh_path(spark, "warc")), "manifest")
+    # One task for each archive, however Spark would pack the manifest's small files.
+    spread = manifest.repartition(max(1, manifest.count()))
+    return read_archives(spread).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.language_id import fold, predict, train
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    names, logp = train(docs.filter(~held_out))
+    return predict(docs, names, logp).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts,)}
+    return {f.__name__: f for f in (op4_token_counts, op5_line_dedup, op6_warc, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
