@@ -61,7 +61,14 @@ def lower_ascii(text: str) -> str:
 
 def split_words(text: Column, gaps: str = BLANKS) -> Column:
     """Array of the words between the gaps; null and empty texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), gaps, -1), lambda w: w != "")
+
+    def inner(parts: Column) -> Column:
+        size = F.size(parts)
+        start = F.when(parts[0] == "", 2).otherwise(1)
+        end = F.when(F.element_at(parts, -1) == "", size - 1).otherwise(size)
+        return F.slice(parts, start, F.greatest(end - start + 1, F.lit(0)))
+
+    return let(F.split(F.coalesce(text, F.lit("")), gaps, -1), inner)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from tessera.llm.common import read_table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality_rules import quality_verdicts
+
+    done = quality_verdicts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "cutoff")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,8 +53,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op5_line_dedup, op6_warc, op9_language_id)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_token_counts, op5_line_dedup, op6_warc, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tessera.llm import sql
+
+    return {"op1_quality_rules": sql.quality_rules(), "op5_line_dedup": sql.line_dedup(), "op6_warc": sql.warc()}
