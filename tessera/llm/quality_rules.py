@@ -5,7 +5,8 @@ words; higher is worse). Labelled good rows that pass the base rule are the hold
 of a fixed grid, H0 "more than `alpha` of the good rows score above the cutoff" is tested with the exact binomial tail
 P(X <= k; n, alpha). The level `delta` is divided by the number of strata (Bonferroni); within a stratum the grid is
 walked from the loosest cutoff to stricter ones and ends at the first that is not rejected, which keeps the level.
-The strictest cutoff that passed holds for the stratum; a stratum without one rejects nothing beyond the base rule.
+Of the cutoffs that passed, the one that rejects most labelled bad rows holds for the stratum, and among equals the
+loosest; a stratum without one rejects nothing beyond the base rule.
 With probability 1 - delta no stratum loses more than `alpha` of its good documents.
 
 All of it is DataFrame expressions. Texts are read once; their counts are written to the shared folder. The cutoffs
@@ -91,17 +92,20 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(scored: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """stratum, cutoff, n_good, n_above, p_value: the strictest cutoff of each stratum that passed its tests."""
-    good = labels.filter(labels[label_col] == 1).select(labels[id_col].cast("long").alias("doc_id")).distinct()
-    holdout = scored.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi")
-    grid = holdout.select("stratum", "score", F.explode(F.array(*[F.lit(c) for c in GRID])).alias("cutoff"))
-    tested = grid.groupBy("stratum", "cutoff").agg(F.count("*").alias("n_good"), F.sum((F.col("score") > F.col("cutoff")).cast("long")).alias("n_above"))
+    """stratum, cutoff, n_good, n_above, n_bad_above, p_value: of the cutoffs of a stratum that passed their tests, the
+    one that rejects most bad rows, the loosest of equals."""
+    known = labels.select(labels[id_col].cast("long").alias("doc_id"), (labels[label_col] == 1).alias("good")).filter("good IS NOT NULL").groupBy("doc_id").agg(F.min("good").alias("good"))
+    holdout = scored.filter(~F.col("base_failed")).select("doc_id", "stratum", "score").join(known, "doc_id")
+    grid = holdout.select("stratum", "good", "score", F.explode(F.array(*[F.lit(c) for c in GRID])).alias("cutoff"))
+    above = F.col("score") > F.col("cutoff")
+    tested = grid.groupBy("stratum", "cutoff").agg(F.count_if("good").alias("n_good"), F.count_if(F.col("good") & above).alias("n_above"), F.count_if(~F.col("good") & above).alias("n_bad_above"))
     # Beyond alpha n errors the tail is above one half: no test passes there and no sum is needed.
     p_value = F.when(F.col("n_above") > alpha * F.col("n_good"), 1.0).otherwise(binomial_tail(F.col("n_above"), F.col("n_good"), alpha))
     tested = materialize(tested.withColumn("p_value", p_value), "tests")
     strata = max(1, tested.select("stratum").distinct().count())
-    # The tail grows as the cutoff falls, so the walk's end is the smallest cutoff that passes.
-    return tested.filter(F.col("p_value") <= delta / strata).groupBy("stratum").agg(F.min_by(F.struct("cutoff", "n_good", "n_above", "p_value"), "cutoff").alias("c")).select("stratum", "c.*")
+    # The tail grows as the cutoff falls, so all that pass come before the walk's end.
+    best = F.max_by(F.struct("cutoff", "n_good", "n_above", "n_bad_above", "p_value"), F.struct("n_bad_above", "cutoff"))
+    return tested.filter(F.col("p_value") <= delta / strata).groupBy("stratum").agg(best.alias("c")).select("stratum", "c.*")
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", broadcast_strata: int = 10_000) -> DataFrame:

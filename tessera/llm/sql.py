@@ -43,9 +43,10 @@ s AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
  greatest(n_symbols::DOUBLE / greatest(word_chars, 1) / {SCALES["symbols"]}::DOUBLE, n_capitals::DOUBLE / greatest(word_chars, 1) / {SCALES["capitals"]}::DOUBLE,
   n_shouts::DOUBLE / greatest(n_words, 1) / {SCALES["shouts"]}::DOUBLE, n_dup_lines::DOUBLE / greatest(n_lines, 1) / {SCALES["lines"]}::DOUBLE,
   n_repeat_words::DOUBLE / greatest(n_words, 1) / {SCALES["repeats"]}::DOUBLE) AS score FROM b),
-h AS (SELECT stratum, score FROM s WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-k AS (SELECT stratum, cutoff, count(*) AS n_good, count(*) FILTER (score > cutoff) AS n_above FROM h, (SELECT unnest({list(GRID)}::DOUBLE[]) AS cutoff) GROUP BY ALL),
-p AS (SELECT stratum, cutoff, (SELECT sum(exp({tail})) FROM range(0, n_above + 1) x(i)) AS p_value FROM k WHERE n_above <= {alpha} * n_good),
-z AS (SELECT stratum, min(cutoff) AS cutoff FROM p WHERE p_value <= {delta} / (SELECT greatest(1, count(DISTINCT stratum)) FROM k) GROUP BY stratum)
+q AS (SELECT doc_id, min(quality = 1) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+h AS (SELECT stratum, score, good FROM s JOIN q USING (doc_id) WHERE NOT base_failed),
+k AS (SELECT stratum, cutoff, count(*) FILTER (good) AS n_good, count(*) FILTER (good AND score > cutoff) AS n_above, count(*) FILTER (NOT good AND score > cutoff) AS n_bad FROM h, (SELECT unnest({list(GRID)}::DOUBLE[]) AS cutoff) GROUP BY ALL),
+p AS (SELECT stratum, cutoff, n_bad, (SELECT sum(exp({tail})) FROM range(0, n_above + 1) x(i)) AS p_value FROM k WHERE n_above <= {alpha} * n_good),
+z AS (SELECT stratum, arg_max(cutoff, n_bad * 1000 + cutoff) AS cutoff FROM p WHERE p_value <= {delta} / (SELECT greatest(1, count(DISTINCT stratum)) FROM k) GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(score > cutoff, false) AS kept, score, cutoff
 FROM s LEFT JOIN z USING (stratum)"""
