@@ -17,6 +17,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "cutoff")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontaminate import contaminated
+
+    done = contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return done.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,10 +60,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_token_counts, op5_line_dedup, op6_warc, op9_language_id)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_decontamination, op4_token_counts, op5_line_dedup, op6_warc, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
     from tessera.llm import sql
 
-    return {"op1_quality_rules": sql.quality_rules(), "op5_line_dedup": sql.line_dedup(), "op6_warc": sql.warc()}
+    return {"op1_quality_rules": sql.quality_rules(), "op3_decontamination": sql.decontamination(), "op5_line_dedup": sql.line_dedup(), "op6_warc": sql.warc()}

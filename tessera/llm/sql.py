@@ -50,3 +50,16 @@ p AS (SELECT stratum, cutoff, n_bad, (SELECT sum(exp({tail})) FROM range(0, n_ab
 z AS (SELECT stratum, arg_max(cutoff, n_bad * 1000 + cutoff) AS cutoff FROM p WHERE p_value <= {delta} / (SELECT greatest(1, count(DISTINCT stratum)) FROM k) GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(score > cutoff, false) AS kept, score, cutoff
 FROM s LEFT JOIN z USING (stratum)"""
+
+
+def decontamination(source: str = "documents", window: int = 13, percent: int = 5) -> str:
+    cut = f"list_filter(string_split_regex(translate(coalesce(text, ''), {_UP}, {_LOW}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+    return f"""WITH i AS (SELECT item_id::VARCHAR AS item, {cut} AS ws FROM benchmark),
+iw AS (SELECT DISTINCT item, least(len(ws), {window}) AS n, array_to_string(ws[s:s + least(len(ws), {window}) - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(ws) - least(len(ws), {window}) + 2)) AS s FROM i WHERE len(ws) > 0)),
+d AS (SELECT doc_id, {cut} AS ws FROM {source}),
+dw AS (SELECT doc_id, n, s, array_to_string(ws[s:s + n - 1], ' ') AS win FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw))),
+v AS (SELECT DISTINCT doc_id, dw.n, s, item FROM dw JOIN iw USING (win, n)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM v) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM v) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AND 100 * coalesce(n_hit, 0) >= {percent} * len(ws) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
