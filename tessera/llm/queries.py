@@ -17,6 +17,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "cutoff")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.ngram_join import ngram_components
+
+    return ngram_components(read_table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.decontaminate import contaminated
 
@@ -60,7 +66,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_decontamination, op4_token_counts, op5_line_dedup, op6_warc, op9_language_id)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_decontamination, op4_token_counts, op5_line_dedup, op6_warc, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
