@@ -65,11 +65,18 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, names, logp).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import plan_mixture
+
+    plan = plan_mixture(read_table(spark, sf_dir, "documents"), max_epochs=4.0)
+    return plan.select(F.col("id").alias("doc_id"), "source", "n_tokens", "epoch", "block_order", "doc_order", F.round("weight", 9).alias("weight"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_decontamination, op4_token_counts, op5_line_dedup, op6_warc, op9_language_id)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_decontamination, op4_token_counts, op5_line_dedup, op6_warc, op9_language_id, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
     from tessera.llm import sql
 
-    return {"op1_quality_rules": sql.quality_rules(), "op3_decontamination": sql.decontamination(), "op5_line_dedup": sql.line_dedup(), "op6_warc": sql.warc()}
+    return {"op1_quality_rules": sql.quality_rules(), "op3_decontamination": sql.decontamination(), "op5_line_dedup": sql.line_dedup(), "op6_warc": sql.warc(), "op10_mixing": sql.mixing()}

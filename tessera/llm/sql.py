@@ -63,3 +63,25 @@ h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(rang
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM v) GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
  coalesce(n_hit, 0) > 0 AND 100 * coalesce(n_hit, 0) >= {percent} * len(ws) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
+def mixing(source: str = "documents", max_epochs: float = 4.0, seed: int = 17, steps: int = 60) -> str:
+    def fits(alpha: str) -> str:
+        return f"(SELECT max(pow(p, {alpha}) / t) / min(pow(p, {alpha}) / t) <= {max_epochs}::DOUBLE FROM s WHERE t > 0)"
+
+    md = lambda *parts: "('0x' || substr(md5(concat_ws(':', " + ", ".join(parts) + ")), 1, 15))::BIGINT"
+    words = f"len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id AS id, coalesce(source, '') AS source, {words}::BIGINT AS n_tokens FROM {source}),
+s AS (SELECT source, sum(n_tokens)::BIGINT AS t, count(*) AS n, sum(n_tokens)::DOUBLE / (SELECT greatest(1, sum(n_tokens)) FROM d) AS p FROM d GROUP BY source),
+b AS (SELECT 0 AS i, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high UNION ALL
+ SELECT i + 1, CASE WHEN f THEN low ELSE (low + high) / 2 END, CASE WHEN f THEN (low + high) / 2 ELSE high END FROM (SELECT *, {fits("(low + high) / 2")} AS f FROM b WHERE i < {steps})),
+a AS (SELECT CASE WHEN {fits("0.0::DOUBLE")} THEN 0.0 ELSE (SELECT high FROM b WHERE i = {steps}) END AS alpha),
+w AS (SELECT source, t, n, CASE WHEN t > 0 THEN pow(p, alpha) ELSE 0 END AS r FROM s, a),
+q AS (SELECT source, t, greatest(1, floor(sqrt(n)))::BIGINT AS blocks, r / (SELECT sum(r) FROM w) AS weight,
+ CASE WHEN t > 0 THEN round(r / (SELECT min(r / t) FROM w WHERE t > 0))::BIGINT END AS quota FROM w),
+z AS (SELECT *, CASE WHEN t > 0 THEN quota // t ELSE 1 END AS whole, CASE WHEN t > 0 THEN quota % t ELSE 0 END AS rest FROM q),
+e AS (SELECT *, unnest(range(0, whole + (rest > 0)::INT)) AS epoch, {md(f"'{seed}'", "id::VARCHAR")} % blocks AS block FROM d JOIN z USING (source)),
+o AS (SELECT *, {md(f"'{seed}'", "epoch::VARCHAR", "source", "block::VARCHAR")} AS block_order, {md(f"'{seed}'", "epoch::VARCHAR", "id::VARCHAR")} AS doc_order FROM e),
+u AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY block_order, block, doc_order, id ROWS UNBOUNDED PRECEDING) AS upto,
+ sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY block_order, block RANGE UNBOUNDED PRECEDING) AS to_block, sum(n_tokens) OVER (PARTITION BY source, epoch, block) AS own FROM o)
+SELECT id AS doc_id, source, n_tokens, epoch, block_order, doc_order, round(weight, 9) AS weight FROM u WHERE epoch < whole OR (upto <= rest AND to_block - own < rest)"""
