@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from tessera.llm import sql
 
-    return {"op1_quality_rules": sql.quality_rules(), "op3_decontamination": sql.decontamination(), "op5_line_dedup": sql.line_dedup(), "op6_warc": sql.warc(), "op10_mixing": sql.mixing()}
+    return {"op1_quality_rules": sql.quality_rules(), "op2_ngram_join": sql.ngram_join(), "op3_decontamination": sql.decontamination(), "op5_line_dedup": sql.line_dedup(), "op6_warc": sql.warc(), "op10_mixing": sql.mixing()}

@@ -4,14 +4,16 @@ _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
 
-def line_dedup(source: str = "documents", min_chars: int = 20, min_docs: int = 3) -> str:
+def line_dedup(source: str = "documents", min_chars: int = 20, min_docs: int = 3, texts: bool = False) -> str:
+    kept = "coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')"
+    result = f"{kept} AS text" if texts else f"sha256({kept}) AS kept_sha256"
     return f"""WITH given AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM {source}),
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM given),
 k AS (SELECT *, translate(trim(line, {_BLANK}), {_UP}, {_LOW}) AS key FROM l),
 r AS (SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= {min_chars} GROUP BY key HAVING count(DISTINCT doc_id) >= {min_docs}),
 m AS (SELECT k.doc_id, k.pos, k.line, r.key IS NOT NULL AND r.holder <> k.doc_id AS gone FROM k LEFT JOIN r ON k.key = r.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
- sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
+ {result} FROM m GROUP BY doc_id"""
 
 
 def warc() -> str:
@@ -25,11 +27,11 @@ SELECT p.page_id, strlen(h)::BIGINT AS payload_bytes, b32 AS payload_digest,
  CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM p JOIN d USING (x) JOIN b USING (x)"""
 
 
-def quality_rules(alpha: float = 0.05, delta: float = 0.05) -> str:
+def quality_rules(alpha: float = 0.05, delta: float = 0.05, source: str = "documents") -> str:
     from tessera.llm.quality_rules import GRID, SCALES
 
     tail = f"lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({alpha}) + (n_good - i) * ln(1 - {alpha})"
-    return f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+    return f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM {source}),
 c AS (SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws,
  list_filter(string_split(text, chr(10)), lambda x: trim(x, {_BLANK}) <> '') AS ls FROM t),
 g AS (SELECT rid, i, ws[i:i + 2] AS g FROM c, LATERAL (SELECT unnest(range(1, len(ws) - 1)) AS i)),
@@ -85,3 +87,25 @@ o AS (SELECT *, {md(f"'{seed}'", "epoch::VARCHAR", "source", "block::VARCHAR")}
 u AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY block_order, block, doc_order, id ROWS UNBOUNDED PRECEDING) AS upto,
  sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY block_order, block RANGE UNBOUNDED PRECEDING) AS to_block, sum(n_tokens) OVER (PARTITION BY source, epoch, block) AS own FROM o)
 SELECT id AS doc_id, source, n_tokens, epoch, block_order, doc_order, round(weight, 9) AS weight FROM u WHERE epoch < whole OR (upto <= rest AND to_block - own < rest)"""
+
+
+def ngram_join(source: str = "documents", n: int = 4, percent: int = 85) -> str:
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_UP}, {_LOW}), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM {source}),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {n} THEN [array_to_string(ws, ' ')]
+ ELSE list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(ws[i:i + {n - 1}], ' ')) END) AS g FROM w),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * i.n >= {percent} * (x.n + y.n - i.n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM w UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a)
+SELECT node AS doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, min(seen) AS component_id FROM r LEFT JOIN c ON c.doc_id = node GROUP BY ALL"""
+
+
+def pipeline() -> str:
+    """The five stages over documents, each reading what the one before kept."""
+    columns = "doc_id, text, lang, source, n_chars"
+    return f"""WITH s1 AS MATERIALIZED (SELECT {columns} FROM documents WHERE doc_id IN (SELECT doc_id FROM ({quality_rules()}) WHERE kept)),
+s2 AS MATERIALIZED (SELECT doc_id, x.text, lang, source, length(x.text)::BIGINT AS n_chars FROM s1 JOIN ({line_dedup("s1", texts=True)}) x USING (doc_id)),
+s3 AS MATERIALIZED (SELECT {columns} FROM s2 WHERE doc_id IN (SELECT doc_id FROM ({ngram_join("s2")}) WHERE component_id = doc_id)),
+s4 AS MATERIALIZED (SELECT {columns} FROM s3 WHERE doc_id IN (SELECT doc_id FROM ({decontamination("s3")}) WHERE NOT contaminated))
+SELECT doc_id, text, lang, s4.source, n_chars, epoch, block_order, doc_order FROM s4 JOIN ({mixing("s4")}) x USING (doc_id)"""
