@@ -71,6 +71,13 @@ def split_words(text: Column, gaps: str = BLANKS) -> Column:
     return let(F.split(F.coalesce(text, F.lit("")), gaps, -1), inner)
 
 
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", most: int = 1 << 20) -> DataFrame:
+    """docs but for the ids of `gone` (one column of that name), broadcast while there are at most `most` of them."""
+    gone = materialize(gone.select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= most else gone
+    return docs.join(side, docs[id_col].cast("long") == side["_gone"], "left_anti")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once: a one-element transform binds it to a lambda variable."""
     return F.transform(F.array(value), body)[0]
@@ -90,18 +97,25 @@ def slices(batches: Iterator[pa.RecordBatch], text: str | None = None, most_byte
 def tree_merge(df: DataFrame, zero: Callable[[], object], add: Callable[[object, bytes], object], dump: Callable[[object], bytes], fan: int = 64) -> DataFrame:
     """Merge rows (key string, chunk long, blob binary) to one row per key, in two rounds of streamed merging.
 
-    Each task holds one accumulator per key it meets and never a group of blobs, so memory does not grow with the
+    Each task holds one accumulator at a time (its rows are sorted) and never a group of blobs, so memory does not grow with the
     number of chunks; the first round spreads a key over `fan` tasks, so no key meets in one task before it is small.
     """
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[str, int], object] = {}
+        at, acc = None, None
         for pdf in batches:
             for key, chunk, blob in zip(pdf["key"], pdf["chunk"], pdf["blob"], strict=True):
-                held[key, chunk] = add(held[key, chunk] if (key, chunk) in held else zero(), blob)
-        for (key, chunk), acc in held.items():
-            yield pd.DataFrame({"key": [key], "chunk": [chunk], "blob": [dump(acc)]})
+                if at != (key, chunk):
+                    if at is not None:
+                        yield pd.DataFrame({"key": [at[0]], "chunk": [at[1]], "blob": [dump(acc)]})
+                    at, acc = (key, chunk), zero()
+                acc = add(acc, blob)
+        if at is not None:
+            yield pd.DataFrame({"key": [at[0]], "chunk": [at[1]], "blob": [dump(acc)]})
+
+    def round_of(part: DataFrame) -> DataFrame:
+        return part.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInPandas(merge, schema)
 
     schema = "key string, chunk long, blob binary"
-    first = df.withColumn("chunk", F.pmod("chunk", F.lit(fan))).repartition("key", "chunk").mapInPandas(merge, schema)
-    return first.withColumn("chunk", F.lit(0).cast("long")).repartition("key").mapInPandas(merge, schema).select("key", "blob")
+    first = round_of(df.withColumn("chunk", F.pmod("chunk", F.lit(fan))))
+    return round_of(first.withColumn("chunk", F.lit(0).cast("long"))).select("key", "blob")
