@@ -60,17 +60,24 @@ class SegmentPair:
 def _merge_segments(df: DataFrame, groups: int) -> DataFrame:
     """Rows (segment, chunk, once, twice: positions as bytes) merged to one row for each segment and chunk modulo groups."""
 
+    def dump(key: tuple[int, int], pair: SegmentPair) -> pd.DataFrame:
+        return pd.DataFrame({"segment": [key[0]], "chunk": [key[1]], "once": [np.flatnonzero(pair.once).astype(np.uint32).tobytes()], "twice": [np.flatnonzero(pair.twice).astype(np.uint32).tobytes()]})
+
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, int], SegmentPair] = {}
+        key = pair = None
         for pdf in batches:
             for segment, chunk, once, twice in zip(pdf["segment"], pdf["chunk"], pdf["once"], pdf["twice"], strict=True):
-                if (segment, chunk) not in held:
-                    held[segment, chunk] = SegmentPair()
-                held[segment, chunk].add(np.frombuffer(once, np.uint32), np.frombuffer(twice, np.uint32))
-        for (segment, chunk), pair in held.items():
-            yield pd.DataFrame({"segment": [segment], "chunk": [chunk], "once": [np.flatnonzero(pair.once).astype(np.uint32).tobytes()], "twice": [np.flatnonzero(pair.twice).astype(np.uint32).tobytes()]})
-
-    return df.withColumn("chunk", F.pmod("chunk", F.lit(groups))).repartition("segment", "chunk").mapInPandas(merge, df.schema)
+                if key != (segment, chunk):
+                    if key is not None:
+                        yield dump(key, pair)
+                    key, pair = (segment, chunk), SegmentPair()
+                pair.add(np.frombuffer(once, np.uint32), np.frombuffer(twice, np.uint32))
+        if key is not None:
+            yield dump(key, pair)
+
+    # Sorted, so that a task holds the bits of one segment at a time.
+    dealt = df.withColumn("chunk", F.pmod("chunk", F.lit(groups))).repartition("segment", "chunk")
+    return dealt.sortWithinPartitions("segment", "chunk").mapInPandas(merge, df.schema)
 
 
 def twice_seen(docs: DataFrame, text_col: str, min_chars: int, filter_bits: int) -> np.ndarray:
