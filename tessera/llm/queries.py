@@ -56,6 +56,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spread).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.suffix_dedup import remove_copies
+
+    done = remove_copies(read_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.language_id import fold, predict, train
 
@@ -73,7 +80,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_decontamination, op4_token_counts, op5_line_dedup, op6_warc, op9_language_id, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_decontamination, op4_token_counts, op5_line_dedup, op6_warc, op7_suffix_dedup, op9_language_id, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
