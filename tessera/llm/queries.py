@@ -63,6 +63,13 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.language_id import fold
+    from tessera.llm.lm_scoring import score_texts
+
+    return score_texts(read_table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) == 0)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.language_id import fold, predict, train
 
@@ -80,7 +87,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_decontamination, op4_token_counts, op5_line_dedup, op6_warc, op7_suffix_dedup, op9_language_id, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_decontamination, op4_token_counts, op5_line_dedup, op6_warc, op7_suffix_dedup, op8_lm_scoring, op9_language_id, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
