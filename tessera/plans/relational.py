@@ -50,7 +50,7 @@ for _name, _sql in {
     "count_where": "SELECT count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 30",
     "count_metadata": "SELECT count(*) AS n FROM lineitem",
     "point_lookup": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 7",
-    "project_computed": "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 2) AS net, CASE WHEN l_quantity > 25 THEN 'big' ELSE 'small' END AS size_class, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem WHERE l_orderkey < 500",
+    "project_computed": "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net, CASE WHEN l_quantity > 25 THEN 'big' ELSE 'small' END AS size_class, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem WHERE l_orderkey < 500",
     "distinct": "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem",
     "join_inner": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000",
     "join_left": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
