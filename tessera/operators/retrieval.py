@@ -136,10 +136,13 @@ def sparse_search(df: DataFrame, sparse_col: str, query: list[tuple[int, float]]
     """Sum of products over shared tokens; rows without one do not match. sparse_col: array of struct(token, weight)."""
     if not query:
         raise ValueError("a sparse query has one token at least")
-    weights = F.map_from_entries(F.array(*[F.struct(F.lit(t).cast("int"), F.lit(float(w))) for t, w in dict(query).items()]))
-    hits = F.filter(df[sparse_col], lambda e: F.map_contains_key(weights, e["token"]))
-    score = F.aggregate(hits, F.lit(0.0), lambda s, e: s + e["weight"].cast("double") * F.try_element_at(weights, e["token"]))
-    return top(df, F.when(F.size(hits) > 0, score), k, id_col, "sparse_score")
+    # The query's postings are broadcast (it is one literal query); a row's products are summed map-side.
+    postings = F.broadcast(df.sparkSession.createDataFrame([(int(t), float(w)) for t, w in dict(query).items()], "token int, _q double"))
+    terms = df.select(F.col(id_col).alias("_id"), F.explode(sparse_col).alias("_e")).select("_id", F.col("_e.token").cast("int").alias("token"), F.col("_e.weight").cast("double").alias("_w"))
+    scored = terms.join(postings, "token").groupBy("_id").agg(F.sum(F.col("_w") * F.col("_q")).alias("_score"))
+    best = F.broadcast(scored.orderBy(F.desc("_score"), "_id").limit(_k(k)))
+    found = df.join(best, df[id_col] == best["_id"]).drop("_id")
+    return top(found, F.col("_score"), k, id_col, "sparse_score").drop("_score")
 
 
 def set_members(text: str) -> list[str]:
