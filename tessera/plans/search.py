@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -163,9 +164,8 @@ def keyset_page(spark, sf_dir):
 
 
 def _store(spark, sf_dir) -> Session:
-    from tessera.operators.relational import cut  # noqa: F401
-
-    s = Session(spark, tempfile.mkdtemp(prefix="tessera-store-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)  # a temporary folder only where no shared one is named
+    s = Session(spark, f"{shared.rstrip('/')}/tessera-store-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tessera-store-"))
     s.sql("CREATE TABLE o (k BIGINT PRIMARY KEY, cust BIGINT, status TEXT, cents BIGINT)")
     s.store.insert("o", table(spark, sf_dir, "orders").filter("o_orderkey < 2000").selectExpr("o_orderkey AS k", "o_custkey AS cust", "o_orderstatus AS status", "CAST(round(o_totalprice * 100) AS BIGINT) AS cents"))
     s.store.commit()
