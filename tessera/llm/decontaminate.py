@@ -15,7 +15,8 @@ distance from one start. So containment is joined as sets:
 Everything is DataFrame operations; rows that shuffle are the kept occurrences, not the texts.
 
 Defined cases: null and empty texts have no words; an item without words has no window; items with equal windows are
-all reported; rows that repeat an id count as one document, hit where any of them is and as long as the longest; an
+all reported; rows that repeat an id count as one document, hit where any of them is and as long as the longest (rows without an id
+too, and they have no hits); an
 empty benchmark leaves all clean; an empty table gives an empty result.
 """
 

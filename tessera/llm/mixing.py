@@ -116,4 +116,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     names = [c for c in docs.columns if c not in ("epoch", "block_order", "doc_order")]
     # A repeated row would meet its twin's plan: rows of an id share one plan, read as often as the id has rows.
     plan = plan.groupBy("_mix_id", "epoch", "block_order", "doc_order").agg(F.count("*").alias("_"))
-    return docs.join(plan, docs[id_col].cast("long") == plan["_mix_id"]).select(*[docs[c] for c in names], *[plan[c] for c in ("epoch", "block_order", "doc_order")])
+    return docs.join(plan, docs[id_col].cast("long").eqNullSafe(plan["_mix_id"])).select(*[docs[c] for c in names], *[plan[c] for c in ("epoch", "block_order", "doc_order")])

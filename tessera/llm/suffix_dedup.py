@@ -20,7 +20,8 @@ Hot content: copies inside a task end there, so a passage in a third of all rows
 anchors are compared by 64-bit hashes of at least ANCHOR bytes each, together 128 bits.
 
 Defined cases: null is empty; texts under `length` bytes never lose a byte; copies inside one row count; rows that
-repeat an id with its text count as one row and lose the same spans; an empty table gives an empty result.
+repeat an id with its text count as one row and lose the same spans; a row without an id stays whole and takes no
+part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -246,7 +247,7 @@ class SuffixDedup:
             if rows:
                 yield pack(flush(rows))
 
-        return self.docs.mapInArrow(run, "part long, doc long, kind long, blob binary")
+        return self.docs.filter("doc IS NOT NULL").mapInArrow(run, "part long, doc long, kind long, blob binary")
 
     def compared(self) -> DataFrame:
         """doc, kind, blob: SPANs of copies (kind 0) and WANTED variants (kind 1) by row."""

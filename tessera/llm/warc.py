@@ -7,7 +7,7 @@ the members alone. Files go to a shared folder under a name of their own and app
 task that is run again after a loss leaves no half-written archive, and the manifest names the files that count.
 
 Defined cases: a null payload is empty; equal payloads make one response (the largest id) and revisits to it; rows
-that repeat an id are repeated records; an empty table writes no archive; long payloads pass through in blocks.
+that repeat an id are repeated records; a page without an id is a response with its payload; an empty table writes no archive; long payloads pass through in blocks.
 """
 
 from __future__ import annotations
@@ -36,12 +36,12 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, page_id: int, url: str | None, payload: bytes, refers_to: int | None = None) -> bytes:
+def record(kind: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None) -> bytes:
     """One WARC/1.1 record: a response with the payload, or a revisit with the response's header block alone."""
     http = CRLF.join([b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % len(payload), b"", b""])
     body = http if kind == "revisit" else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", "WARC-Date: 2024-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Target-URI: {(url or '').translate({10: '%0A', 13: '%0D'})}", f"WARC-Payload-Digest: sha1:{digest32(payload)}", "Content-Type: application/http; msgtype=response",
     ]
     if kind == "revisit":
@@ -146,7 +146,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     columns: list[tuple[str, pa.DataType]] = [("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
 
     def number(urn: str | None) -> int | None:
-        return None if urn is None else int(urn.strip("<>").rsplit(":", 1)[1])
+        digits = (urn or ":").strip("<>").rsplit(":", 1)[1]
+        return int(digits) if digits else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

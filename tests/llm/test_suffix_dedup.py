@@ -58,6 +58,8 @@ def test_no_rows_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "x" * 50 + "y" * 90, 1), (1, "x" * 50 + "y" * 90, 1), (2, "x" * 50 + "y" * 90, 2)], "doc_id long, text string, kept long")
     assert [(r[0], r[2]) for r in result(df)] == [(1, 0), (1, 0), (2, 140)]
     assert result(df.filter("doc_id > 5")) == []
+    odd = spark.createDataFrame([(None, "x" * 300), (None, "x" * 300), (4, "x" * 300)], "doc_id long, text string")
+    assert sorted((r["doc_id"] is None, r["n_removed"]) for r in remove_copies(odd).collect()) == [(False, 299), (True, 0), (True, 0)]
 
 
 def test_pieces():
