@@ -5,8 +5,9 @@
    every worker as a dictionary with their counts. Tokens outside it are handed on as rows and joined to the counts,
    so every token of every text is scored with its exact count, however large the vocabulary grows.
 3. The recurrent model (tessera.llm.gru) knows the `vocabulary` most frequent tokens, the end and "other". It is trained
-   in `rounds` rounds: in each, every task passes once over its share of the training texts (`share` of all, another
-   set in each round, so what it learns from grows with the corpus) and the tasks' parameters are averaged by tokens.
+   in `rounds` rounds: in each, every task passes once over its part of the round's training texts and the tasks'
+   parameters are averaged by tokens. Each round has another set of texts; together they are `share` of all (1: every
+   training text is learned from once).
 4. Whole texts are scored with the state carried from window to window. An "other" token costs the model's "other" and
    the token's share among other tokens by corpus counts (c + 0.1) / (N_other + 0.1 (V_other + 1)).
 
@@ -73,9 +74,14 @@ class LmScoring:
     def shared(self):
         return self.spark.sparkContext.broadcast((self.tokens, self.c))
 
+    def part(self, k: int) -> DataFrame:
+        """The training texts of round k: the rounds' bounds meet, so no text falls between two of them."""
+        bucket = F.pmod(F.xxhash64("doc"), F.lit(1000))
+        low, high = (round(1000 * self.share * i / self.rounds) for i in (k, k + 1))
+        return self.training.filter((bucket >= low) & (bucket < high))
+
     def train(self, table) -> np.ndarray:
         flat, top, model0 = self.start.flat(), self.vocabulary - RESERVED, self.start
-        per_round = max(1, round(1000 * self.share / self.rounds))
         for k in range(self.rounds):
             sent = self.spark.sparkContext.broadcast(flat)
 
@@ -107,9 +113,7 @@ class LmScoring:
                 got = np.frombuffer(blob, np.float64)
                 return got.copy() if held is None else held + got
 
-            bucket = F.pmod(F.xxhash64("doc"), F.lit(1000))
-            sample = self.training.filter((bucket >= k * per_round) & (bucket < (k + 1) * per_round)).select("text")
-            merged = tree_merge(sample.mapInArrow(fit, "key string, chunk long, blob binary"), lambda: None, add, lambda a: a.tobytes()).collect()
+            merged = tree_merge(self.part(k).select("text").mapInArrow(fit, "key string, chunk long, blob binary"), lambda: None, add, lambda a: a.tobytes()).collect()
             if merged:
                 total = np.frombuffer(merged[0]["blob"], np.float64)
                 flat = (total[1:] / total[0]).astype(np.float32)
@@ -169,7 +173,7 @@ class LmScoring:
         return done.drop("rare").join(late, "row", "left").select("doc", "held_out", "n_tokens", whole("n_known", "late_known"), F.lit(n).cast("long").alias("train_tokens"), whole("base", "late_base"), whole("score", "late_score"))
 
 
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1024, dictionary: int = 1 << 19, share: float = 0.1, rounds: int = 2, hidden: int = 32) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1024, dictionary: int = 1 << 19, share: float = 1.0, rounds: int = 2, hidden: int = 32) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10), one row for each row."""
     done = LmScoring(docs, id_col, text_col, held_out, vocabulary, dictionary, share, rounds, hidden).score()
     return done.withColumnsRenamed({"doc": "doc_id", "base": "base_score"})

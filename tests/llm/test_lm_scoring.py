@@ -1,5 +1,6 @@
 """Operator 8: gradients, carried state, exact counts and base scores, and that the model beats the unigram."""
 
+import inspect
 import math
 import random
 import zlib
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.gru import NAMES, GatedLm
 from tessera.llm.language_id import fold
-from tessera.llm.lm_scoring import score_texts
+from tessera.llm.lm_scoring import LmScoring, score_texts
 
 
 def test_gradients():
@@ -85,3 +86,12 @@ def test_nothing_to_learn_from_and_no_rows(spark):
     got = score_texts(df, F.lit(True)).collect()
     assert [(r["n_known"], r["train_tokens"], r["base_score"]) for r in got] == [(0, 0, 0.0)] * 2
     assert score_texts(df.filter("doc_id > 5"), F.lit(False)).collect() == []
+
+
+@pytest.mark.parametrize("changed", [{}, {"rounds": 3}])
+def test_the_registered_setting_learns_from_every_training_text_once(spark, changed):
+    df = spark.createDataFrame([(i, "a") for i in range(3000)], "doc_id long, text string")
+    own = {k: p.default for k, p in inspect.signature(score_texts).parameters.items() if k in ("vocabulary", "dictionary", "share", "rounds", "hidden")} | changed
+    lm = LmScoring(df, "doc_id", "text", fold(F.col("doc_id"), 10) == 0, **own)
+    seen = Counter(r["doc"] for k in range(lm.rounds) for r in lm.part(k).collect())
+    assert seen == {i: 1 for i in range(3000) if zlib.crc32(str(i).encode()) % 10}
