@@ -1,12 +1,14 @@
 """A gated recurrent language model in numpy: one GRU layer, class-factored softmax, truncated backpropagation.
 
-P(word | state) = P(class | state) P(word | class, state), with classes of CLASS words each by frequency rank, so a
-token costs about two square roots of the vocabulary. The input table holds each word's contribution to the three
-gates. Output biases start at the unigram distribution, so training begins from it.
+P(word | state) = P(class | state) P(word | class, state), with classes by frequency rank of as many words each as
+there are classes (CLASS at least), so a token costs about two square roots of the vocabulary. The input table holds
+each word's contribution to the three gates. Output biases start at the unigram distribution, so training begins from it.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 CLASS = 32
@@ -39,13 +41,14 @@ class GatedLm:
     def __init__(self, counts: np.ndarray, hidden: int = 32, seed: int = 1) -> None:
         rnd = np.random.default_rng(seed)
         words, self.hidden = len(counts), hidden
-        classes = -(-words // CLASS)
+        self.size = size = max(CLASS, math.isqrt(max(words, 1) - 1) + 1)
+        classes = -(-words // size)
         shape = lambda *s, scale=0.1: (rnd.standard_normal(s) * scale).astype(np.float32)
         self.inputs, self.recur = shape(words, 3 * hidden), shape(hidden, 3 * hidden, scale=hidden**-0.5)
-        self.class_w, self.word_w = shape(hidden, classes, scale=0.02), shape(classes, hidden, CLASS, scale=0.02)
-        mass = np.full(classes * CLASS, 1e-30)
+        self.class_w, self.word_w = shape(hidden, classes, scale=0.02), shape(classes, hidden, size, scale=0.02)
+        mass = np.full(classes * size, 1e-30)
         mass[:words] = np.maximum(counts, 0.1)
-        mass = mass.reshape(classes, CLASS)
+        mass = mass.reshape(classes, size)
         self.class_b = np.log(mass.sum(axis=1) / mass.sum()).astype(np.float32)
         self.word_b = np.log(mass / mass.sum(axis=1, keepdims=True)).astype(np.float32)
 
@@ -71,7 +74,7 @@ class GatedLm:
         return c + z * (h - c), z, r, c, un
 
     def by_class(self, target: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        group = target // CLASS
+        group = target // self.size
         order = np.argsort(group, kind="stable")
         cuts = np.searchsorted(group[order], np.arange(len(self.class_b) + 1))
         return [(c, order[cuts[c] : cuts[c + 1]]) for c in range(len(self.class_b)) if cuts[c + 1] > cuts[c]]
@@ -79,10 +82,10 @@ class GatedLm:
     def log_probs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log-probability of each target after its state."""
         logits = h @ self.class_w + self.class_b
-        out = logits[np.arange(len(target)), target // CLASS] - _norm(logits)
+        out = logits[np.arange(len(target)), target // self.size] - _norm(logits)
         for c, rows in self.by_class(target):
             logits = h[rows] @ self.word_w[c] + self.word_b[c]
-            out[rows] += logits[np.arange(len(rows)), target[rows] % CLASS] - _norm(logits)
+            out[rows] += logits[np.arange(len(rows)), target[rows] % self.size] - _norm(logits)
         return out
 
     def gradients(self, words: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
@@ -96,14 +99,14 @@ class GatedLm:
             states.append(h)
         flat, target, n = np.concatenate(states), targets.ravel(), steps * streams
         p, norm = _softmax(logits := flat @ self.class_w + self.class_b)
-        loss = float((norm - logits[np.arange(n), target // CLASS]).sum())
-        p[np.arange(n), target // CLASS] -= 1
+        loss = float((norm - logits[np.arange(n), target // self.size]).sum())
+        p[np.arange(n), target // self.size] -= 1
         p /= n
         g_class_w, g_class_b, g_flat = flat.T @ p, p.sum(axis=0), p @ self.class_w.T
         g_word_w, g_word_b = np.zeros_like(self.word_w), np.zeros_like(self.word_b)
         for c, rows in self.by_class(target):
             q, norm = _softmax(logits := flat[rows] @ self.word_w[c] + self.word_b[c])
-            at = (np.arange(len(rows)), target[rows] % CLASS)
+            at = (np.arange(len(rows)), target[rows] % self.size)
             loss += float((norm - logits[at]).sum())
             q[at] -= 1
             q /= n
@@ -148,13 +151,17 @@ class GatedLm:
         first, second = ([np.zeros_like(a) for a in self.arrays()] for _ in range(2))
         for k, at in enumerate(range(0, whole, steps), start=1):
             _, grads, h = self.gradients(words[at : at + steps], targets[at : at + steps], fresh[at : at + steps], h)
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
+            # Only words and classes of the window have gradients; the moments of the others wait, whatever the vocabulary.
+            near, far = np.unique(words[at : at + steps]), np.unique(targets[at : at + steps] // self.size)
+            parts = [near if name == "inputs" else far if name in ("word_w", "word_b") else slice(None) for name in NAMES]
+            grads = [g[part] for g, part in zip(grads, parts, strict=True)]
+            norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads))
             scale, warm = min(1.0, 1.0 / max(norm, 1e-6)), min(1.0, k / 20)
-            for a, g, m, v in zip(self.arrays(), grads, first, second, strict=True):
+            for a, part, g, m, v in zip(self.arrays(), parts, grads, first, second, strict=True):
                 g = g * np.float32(scale)
-                m += np.float32(0.1) * (g - m)
-                v += np.float32(0.01) * (g * g - v)
-                a -= np.float32(rate * warm) * (m / np.float32(1 - 0.9**k)) / (np.sqrt(v / np.float32(1 - 0.99**k)) + np.float32(1e-6))
+                m[part] = m_part = m[part] + np.float32(0.1) * (g - m[part])
+                v[part] = v_part = v[part] + np.float32(0.01) * (g * g - v[part])
+                a[part] -= np.float32(rate * warm) * (m_part / np.float32(1 - 0.9**k)) / (np.sqrt(v_part / np.float32(1 - 0.99**k)) + np.float32(1e-6))
         return words.size
 
     def score(self, texts: list[np.ndarray], width: int = 256, window: int = 64, end: int = 0) -> np.ndarray:

@@ -30,6 +30,7 @@ from tessera.llm.common import ascii_lower, materialize, slices, split_words, tr
 from tessera.llm.gru import GatedLm
 
 END, OTHER, RESERVED = 0, 1, 2
+SLICE = 1 << 17  # parameters averaged in one row
 
 
 class Dictionary(dict):
@@ -106,17 +107,22 @@ class LmScoring:
                 if texts:
                     learn()
                 if model is not None:
-                    blob = np.r_[np.float64(tokens), model.flat().astype(np.float64) * tokens].tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array(["model"]), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([blob], pa.binary())], names=["key", "chunk", "blob"])
+                    own, head = model.flat(), np.float64(tokens).tobytes()
+                    for k in range(0, own.size, SLICE):  # slices meet in tasks of their own, so none holds many models
+                        yield pa.RecordBatch.from_arrays([pa.array([str(k)]), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([head + own[k : k + SLICE].tobytes()], pa.binary())], names=["key", "chunk", "blob"])
 
-            def add(held: np.ndarray | None, blob: bytes) -> np.ndarray:
-                got = np.frombuffer(blob, np.float64)
-                return got.copy() if held is None else held + got
+            def add(held: tuple | None, blob: bytes) -> tuple:  # (tokens, sum of parameters by tokens); blobs hold the mean
+                n = np.frombuffer(blob, np.float64, 1)[0]
+                got = np.frombuffer(blob, np.float32, offset=8).astype(np.float64) * n
+                return (n, got) if held is None else (held[0] + n, held[1] + got)
 
-            merged = tree_merge(self.part(k).select("text").mapInArrow(fit, "key string, chunk long, blob binary"), lambda: None, add, lambda a: a.tobytes()).collect()
+            def mean(held: tuple) -> bytes:
+                return held[0].tobytes() + (held[1] / held[0]).astype(np.float32).tobytes()
+
+            tasks = max(8, self.n // (self.rounds << 20))  # about 2^20 tokens a task at least: each task writes a whole model
+            merged = tree_merge(self.part(k).select("text").coalesce(tasks).mapInArrow(fit, "key string, chunk long, blob binary"), lambda: None, add, mean).collect()
             if merged:
-                total = np.frombuffer(merged[0]["blob"], np.float64)
-                flat = (total[1:] / total[0]).astype(np.float32)
+                flat = np.concatenate([np.frombuffer(r["blob"], np.float32, offset=8) for r in sorted(merged, key=lambda r: int(r["key"]))])
         return flat
 
     def score(self) -> DataFrame:
@@ -173,7 +179,7 @@ class LmScoring:
         return done.drop("rare").join(late, "row", "left").select("doc", "held_out", "n_tokens", whole("n_known", "late_known"), F.lit(n).cast("long").alias("train_tokens"), whole("base", "late_base"), whole("score", "late_score"))
 
 
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1024, dictionary: int = 1 << 19, share: float = 1.0, rounds: int = 2, hidden: int = 32) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1 << 14, dictionary: int = 1 << 19, share: float = 1.0, rounds: int = 2, hidden: int = 32) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10), one row for each row."""
     done = LmScoring(docs, id_col, text_col, held_out, vocabulary, dictionary, share, rounds, hidden).score()
     return done.withColumnsRenamed({"doc": "doc_id", "base": "base_score"})

@@ -95,3 +95,12 @@ def test_the_registered_setting_learns_from_every_training_text_once(spark, chan
     lm = LmScoring(df, "doc_id", "text", fold(F.col("doc_id"), 10) == 0, **own)
     seen = Counter(r["doc"] for k in range(lm.rounds) for r in lm.part(k).collect())
     assert seen == {i: 1 for i in range(3000) if zlib.crc32(str(i).encode()) % 10}
+
+
+def test_the_registered_vocabulary_covers_most_tokens(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{(i * 40 + j) % 5000}" for j in range(40))) for i in range(250)], "doc_id long, text string")
+    own = {k: p.default for k, p in inspect.signature(score_texts).parameters.items() if k in ("vocabulary", "dictionary", "share", "rounds", "hidden")}
+    lm = LmScoring(df, "doc_id", "text", F.lit(False), **own)
+    lm.count()
+    assert lm.n_other < lm.n / 2
+    assert GatedLm(np.ones(own["vocabulary"])).class_b.size <= 2 * own["vocabulary"] ** 0.5
