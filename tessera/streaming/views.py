@@ -2,7 +2,8 @@
 
 Incremental if the definition reads one table without a filter or join, groups by non-null columns that come first, and
 has one count(*) and any sums. The signed changes since the last refresh are grouped and added to the stored groups; a
-group whose count is 0 goes. Anything else, or a gap in the change log, is refreshed in full.
+group whose count is 0 goes. Anything else, a gap in the change log, or more than MOST_GONE groups that go at once, is
+refreshed in full.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tessera.sources.store import ColumnSpec, StoreError, TableSpec
 
+MOST_GONE = 10_000  # emptied groups that one delete's condition names
+
 
 def plan(query: str) -> dict | None:
     m = re.fullmatch(r"\s*select\s+(?P<items>.*?)\s+from\s+(?P<table>\w+)\s+group\s+by\s+(?P<keys>[\w\s,]+)\s*", query, re.I | re.S)
@@ -73,10 +76,13 @@ def _delta(session, name: str, view: dict, made: dict) -> str:
     both = held.select(*delta.columns).unionByName(delta).groupBy(*made["keys"]).agg(*[F.sum(c).alias(c) for c in (made["count"], *made["sums"])])
     changed = both.join(delta.select(*made["keys"]), made["keys"], "left_semi").select(*held.columns)
     gone = changed.filter(F.col(made["count"]) == 0).select(*made["keys"])
+    ended = gone.limit(MOST_GONE + 1).collect()
+    if len(ended) > MOST_GONE:
+        return "full"
     store.insert(name, changed.filter(F.col(made["count"]) != 0), "update")
-    if not gone.isEmpty():
+    if ended:
         test = None
-        for row in gone.limit(10_001).collect():
+        for row in ended:
             one = None
             for k in made["keys"]:
                 c = F.col(k).eqNullSafe(F.lit(row[k]))

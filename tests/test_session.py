@@ -127,3 +127,19 @@ def test_ttl_masks_attach_backup(s, spark, tmp_path):
     s.sql("NOTIFY c, 'hi'")
     assert heard == ["hi"]
     assert s.sql("CHECK").collect() == []
+
+
+def test_incremental_view_drops_more_groups_than_one_delete_names(s, monkeypatch):
+    from tessera.streaming import views
+
+    s.sql("CREATE TABLE t (k BIGINT PRIMARY KEY, g BIGINT, v BIGINT)")
+    s.store.insert("t", s.spark.range(10_060).selectExpr("id AS k", "id AS g", "id AS v"))
+    s.store.commit()
+    s.sql("CREATE MATERIALIZED VIEW m AS SELECT g, count(*) AS n, sum(v) AS total FROM t GROUP BY g")
+    s.sql("DELETE FROM t WHERE k >= 5; REFRESH MATERIALIZED VIEW m")
+    assert rows(s.sql("SELECT g, n, total FROM m")) == [(i, 1, i) for i in range(5)]
+    monkeypatch.setattr(views, "MOST_GONE", 2)
+    s.sql("DELETE FROM t WHERE k >= 3")
+    assert s.sql("REFRESH MATERIALIZED VIEW m").first()["refresh"] == "incremental"
+    s.sql("DELETE FROM t WHERE k >= 0")
+    assert s.sql("REFRESH MATERIALIZED VIEW m").first()["refresh"] == "full" and rows(s.sql("SELECT g FROM m")) == []
