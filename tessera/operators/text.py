@@ -105,12 +105,12 @@ def highlight(text: str, groups: list[list[Clause]], options: FtsOptions = FtsOp
     return re.sub(r"[A-Za-z0-9]+", mark, text or "")
 
 
-def search(df: DataFrame, text_col: str, query: str, id_col: str, limit: int = 100, options: FtsOptions = FtsOptions()) -> DataFrame:
-    """Matching rows, best first, with rank, snippet, highlight and search_rank. A coarse filter on the terms runs in
-    the JVM first, so Python sees rows that can match."""
+def matches(df: DataFrame, text_col: str, query: str, options: FtsOptions = FtsOptions()) -> DataFrame:
+    """All matching rows with rank, in no order. A coarse filter on the terms runs in the JVM first, so Python sees rows
+    that can match."""
     groups = parse(query, options)
     if not groups:
-        return df.filter(F.lit(False)).select(*df.columns, F.lit(0.0).alias("rank"), F.lit("").alias("snippet"), F.lit("").alias("highlight"), F.lit(0).alias("search_rank"))
+        return df.filter(F.lit(False)).select(*df.columns, F.lit(0.0).alias("rank"))
     text = F.col(text_col) if options.case_sensitive else F.lower(F.col(text_col))
     coarse = F.lit(False)
     for group in groups:
@@ -124,12 +124,20 @@ def search(df: DataFrame, text_col: str, query: str, id_col: str, limit: int = 1
     def ranked(s: pd.Series) -> pd.Series:
         return pd.Series([score(groups, tokens(t, options)) for t in s], dtype="float64").where(lambda v: v.notna(), None)
 
+    return df.filter(coarse).withColumn("rank", ranked(F.col(text_col))).filter(~F.isnan("rank") & F.col("rank").isNotNull())
+
+
+def search(df: DataFrame, text_col: str, query: str, id_col: str, limit: int = 100, options: FtsOptions = FtsOptions()) -> DataFrame:
+    """The `limit` best matching rows, best first, with rank, snippet, highlight and search_rank."""
+    groups = parse(query, options)
+    if not groups:
+        return df.filter(F.lit(False)).select(*df.columns, F.lit(0.0).alias("rank"), F.lit("").alias("snippet"), F.lit("").alias("highlight"), F.lit(0).alias("search_rank"))
+
     @F.pandas_udf("struct<snippet: string, highlight: string>")
     def shown(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"snippet": [snippet(t, groups, options) for t in s], "highlight": [highlight(t, groups, options) for t in s]})
 
-    raw = ranked(F.col(text_col))
-    best = top(df.filter(coarse).withColumn("_rank", raw).filter(~F.isnan("_rank") & F.col("_rank").isNotNull()), F.col("_rank"), limit, id_col, "rank")
+    best = top(matches(df, text_col, query, options), F.col("rank"), limit, id_col, "rank")
     return best.withColumn("_shown", shown(F.col(text_col))).select(*df.columns, "rank", "_shown.snippet", "_shown.highlight", "search_rank")
 
 

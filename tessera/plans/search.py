@@ -109,7 +109,7 @@ def fts_rank(spark, sf_dir):
 c AS (SELECT doc_id, len(list_filter(ws, lambda x: x = 'idiot')) AS a, len(list_filter(ws, lambda x: x = 'clown')) AS b, len(list_filter(ws, lambda x: x = 'moron')) AS m FROM w)
 SELECT doc_id, (a + b)::DOUBLE AS rank FROM c WHERE a > 0 AND b > 0 AND m = 0""")
 def fts_match(spark, sf_dir):
-    return T.search(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "idiot clown -moron", "doc_id", 10_000).select("doc_id", "rank")
+    return T.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "idiot clown -moron").select("doc_id", "rank")
 
 
 _RECT = "SELECT o_orderkey AS id, o_custkey % 100 * 1.0 AS x0, o_custkey % 100 + o_orderkey % 4 * 1.0 AS x1, o_orderkey % 90 * 1.0 AS y0, o_orderkey % 90 + o_custkey % 3 * 1.0 AS y1 FROM orders"

@@ -132,3 +132,10 @@ def test_tsv_modules_and_functions(spark, tmp_path):
     io.register_scalar(spark, "plus_one", lambda s: s + 1, "bigint")
     io.register_aggregate(spark, "spread", lambda v: float(v.max() - v.min()), "double")
     assert spark.sql("SELECT plus_one(id) AS v FROM range(3)").count() == 3 and spark.sql("SELECT spread(id) AS v FROM range(9)").first()[0] == 8.0
+
+
+def test_fts_match_returns_more_rows_than_ranked_search(spark, tmp_path):
+    from tessera.plans.registry import queries
+
+    spark.range(10_050).selectExpr("id AS doc_id", "'Idiot clown' AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries()["fts_match"](spark, str(tmp_path)).filter("rank = 2").count() == 10_050
