@@ -128,6 +128,12 @@ def rectangle_join(spark, sf_dir):
     return T.rectangle_join(r, r, ("x0", "x1", "y0", "y1"), 5.0, "id", "id")
 
 
+@query()  # its SQL joins by inequalities alone, too slow on whole tables
+def rectangle_join_whole(spark, sf_dir):
+    r = on_tables(spark, sf_dir, _RECT)
+    return T.rectangle_join(r, r, ("x0", "x1", "y0", "y1"), 5.0, "id", "id")
+
+
 @query("WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b FROM nation), r AS (SELECT 0 AS id UNION SELECT e.b FROM e JOIN r ON e.a = r.id) SELECT id FROM r")
 def recursive_union(spark, sf_dir):
     edges = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("b"))
@@ -163,11 +169,11 @@ def keyset_page(spark, sf_dir):
     return spark.createDataFrame([(r["c_custkey"],) for r in out], "c_custkey long")
 
 
-def _store(spark, sf_dir) -> Session:
+def _store(spark, sf_dir, where: str = "o_orderkey < 2000") -> Session:
     shared = spark.conf.get("spark.checkpoint.dir", None)  # a temporary folder only where no shared one is named
     s = Session(spark, f"{shared.rstrip('/')}/tessera-store-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tessera-store-"))
     s.sql("CREATE TABLE o (k BIGINT PRIMARY KEY, cust BIGINT, status TEXT, cents BIGINT)")
-    s.store.insert("o", table(spark, sf_dir, "orders").filter("o_orderkey < 2000").selectExpr("o_orderkey AS k", "o_custkey AS cust", "o_orderstatus AS status", "CAST(round(o_totalprice * 100) AS BIGINT) AS cents"))
+    s.store.insert("o", table(spark, sf_dir, "orders").filter(where).selectExpr("o_orderkey AS k", "o_custkey AS cust", "o_orderstatus AS status", "CAST(round(o_totalprice * 100) AS BIGINT) AS cents"))
     s.store.commit()
     return s
 
@@ -177,14 +183,20 @@ _O = "SELECT o_orderkey AS k, o_custkey AS cust, o_orderstatus AS status, CAST(r
 
 @query(f"SELECT k, cust, CASE WHEN k % 2 = 0 THEN 'X' ELSE status END AS status, CASE WHEN k % 2 = 0 THEN cents + 1 ELSE cents END AS cents FROM ({_O}) WHERE k % 5 <> 0 UNION ALL SELECT 5000, 1, 'N', 7")
 def store_upsert_delete(spark, sf_dir):
-    s = _store(spark, sf_dir)
+    return _upsert_delete(_store(spark, sf_dir))
+
+
+def _upsert_delete(s: Session):
     s.sql("INSERT INTO o SELECT k, cust, status, 1 AS cents FROM o WHERE k % 2 = 0 ON CONFLICT (k) DO UPDATE SET cents = cents + excluded.cents, status = 'X'; DELETE FROM o WHERE k % 5 = 0; INSERT INTO o VALUES (5000, 1, 'N', 7)")
     return s.sql("SELECT * FROM o")
 
 
 @query(_O)
 def store_as_of(spark, sf_dir):
-    s = _store(spark, sf_dir)
+    return _as_of(_store(spark, sf_dir))
+
+
+def _as_of(s: Session):
     epoch = s.store.epoch
     s.sql("UPDATE o SET status = 'Z'; DELETE FROM o WHERE k < 100")
     return s.sql(f"SELECT * FROM o AS OF EPOCH {epoch}")
@@ -192,7 +204,10 @@ def store_as_of(spark, sf_dir):
 
 @query(f"SELECT status, count(*) AS n, sum(cents)::BIGINT AS total FROM ({_O}) WHERE k % 3 <> 0 GROUP BY status")
 def mv_incremental(spark, sf_dir):
-    s = _store(spark, sf_dir)
+    return _view(_store(spark, sf_dir))
+
+
+def _view(s: Session):
     s.sql("CREATE MATERIALIZED VIEW m AS SELECT status, count(*) AS n, sum(cents) AS total FROM o GROUP BY status; DELETE FROM o WHERE k % 3 = 0; REFRESH MATERIALIZED VIEW m")
     return s.sql("SELECT status, n, total FROM m")
 
@@ -205,3 +220,32 @@ def change_stream(spark, sf_dir):
     q = s.store.change_stream().writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     return spark.sql(f"SELECT op, count(*) AS n FROM {name} GROUP BY op")
+
+
+# The same over whole tables.
+_ALL = _O.removesuffix(" WHERE o_orderkey < 2000")
+
+
+@query(f"SELECT k, cust, CASE WHEN k % 2 = 0 THEN 'X' ELSE status END AS status, CASE WHEN k % 2 = 0 THEN cents + 1 ELSE cents END AS cents FROM ({_ALL}) WHERE k % 5 <> 0 UNION ALL SELECT 5000, 1, 'N', 7")
+def store_upsert_delete_whole(spark, sf_dir):
+    return _upsert_delete(_store(spark, sf_dir, "true"))
+
+
+@query(_ALL)
+def store_as_of_whole(spark, sf_dir):
+    return _as_of(_store(spark, sf_dir, "true"))
+
+
+@query(f"SELECT status, count(*) AS n, sum(cents)::BIGINT AS total FROM ({_ALL}) WHERE k % 3 <> 0 GROUP BY status")
+def mv_incremental_whole(spark, sf_dir):
+    return _view(_store(spark, sf_dir, "true"))
+
+
+@query(f"SELECT 'insert' AS op, count(*) AS n FROM ({_ALL}) UNION ALL SELECT 'delete', count(*) FROM ({_ALL}) WHERE k % 4 = 0")
+def change_stream_whole(spark, sf_dir):
+    s = _store(spark, sf_dir, "true")
+    s.sql("DELETE FROM o WHERE k % 4 = 0")
+    out = f"{s.store.path}-changes"  # files: a memory sink would gather all changes on the driver
+    q = s.store.change_stream().writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out).groupBy("op").agg(F.count("*").alias("n"))
