@@ -51,11 +51,14 @@ for _name, _sql in {
     "count_metadata": "SELECT count(*) AS n FROM lineitem",
     "point_lookup": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 7",
     "project_computed": "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net, CASE WHEN l_quantity > 25 THEN 'big' ELSE 'small' END AS size_class, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem WHERE l_orderkey < 500",
+    "project_computed_whole": "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net, CASE WHEN l_quantity > 25 THEN 'big' ELSE 'small' END AS size_class, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem",
     "distinct": "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem",
     "join_inner": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000",
     "join_left": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
     "join_right": "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON c_custkey = o_custkey AND o_orderstatus = 'P' WHERE c_custkey < 300",
+    "join_right_whole": "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON c_custkey = o_custkey AND o_orderstatus = 'P'",
     "join_full": "SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_suppkey < 60) s FULL JOIN (SELECT * FROM customer WHERE c_custkey BETWEEN 30 AND 90) c ON s_suppkey = c_custkey",
+    "join_full_whole": "SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = c_custkey",
     "join_cross": "SELECT r_regionkey, n_nationkey FROM region CROSS JOIN nation",
     "join_theta": "SELECT a.p_partkey AS cheap, b.p_partkey AS dear FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_retailprice < b.p_retailprice - 800",
     "join_self": "SELECT a.n_name AS one, b.n_name AS other FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
@@ -75,6 +78,7 @@ for _name, _sql in {
     "agg_empty": "SELECT count(*) AS n, max(o_totalprice) AS most FROM orders WHERE o_orderkey < 0",
     "agg_moments": "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS dev, round(var_pop(l_quantity), 6) AS spread, round(corr(l_quantity, l_extendedprice), 6) AS r, bool_and(l_quantity > 0) AS positive, bool_or(l_discount > 0.09) AS steep FROM lineitem GROUP BY l_returnflag",
     "window_rank": "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority ASC NULLS LAST) AS rk, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority ASC NULLS LAST) AS dr FROM orders WHERE o_custkey < 200 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey ASC NULLS LAST)",
+    "window_rank_whole": "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority ASC NULLS LAST) AS rk, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority ASC NULLS LAST) AS dr FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey ASC NULLS LAST)",
     "window_lag_lead": "SELECT event_id, lag(event_id, 1) OVER w AS before, lead(event_id, 2, -1) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ASC NULLS LAST, event_id ASC NULLS LAST)",
     "window_ntile": "SELECT o_orderkey, ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice ASC NULLS LAST, o_orderkey ASC NULLS LAST) AS quarter FROM orders",
     "window_percent_rank": "SELECT o_orderkey, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice ASC NULLS LAST)",

@@ -57,3 +57,9 @@ def test_store_queries_of_whole_tables_have_no_id_bound(spark, tmp_path, name):
     con = connection(SF)
     con.execute("CREATE OR REPLACE VIEW orders AS SELECT * FROM read_parquet('" + str(tmp_path / "orders.parquet") + "/*.parquet')")
     same(queries()[f"{name}_whole"](spark, str(tmp_path)), con, oracle_sql()[f"{name}_whole"])
+
+
+@pytest.mark.parametrize(("name", "source"), [("math_basic", "lineitem"), ("project_computed", "lineitem"), ("join_right", "customer"), ("join_full", "customer"), ("window_rank", "orders")])
+def test_whole_queries_keep_every_row(spark, name, source):
+    rows = spark.read.parquet(f"{SF}/{source}.parquet").count()
+    assert queries()[f"{name}_whole"](spark, SF).count() >= rows
