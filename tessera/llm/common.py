@@ -11,6 +11,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
@@ -94,6 +95,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: str | None = None, most_byte
             yield batch.slice(at, rows)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs inside hand Python at most so many rows a batch; what Spark's setting was before holds again after them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def tree_merge(df: DataFrame, zero: Callable[[], object], add: Callable[[object, bytes], object], dump: Callable[[object], bytes], fan: int = 64) -> DataFrame:
     """Merge rows (key string, chunk long, blob binary) to one row per key, in two rounds of streamed merging.
 
