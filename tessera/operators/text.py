@@ -83,16 +83,17 @@ def _wanted(groups: list[list[Clause]]) -> tuple[set[str], tuple[str, ...]]:
 
 
 def snippet(text: str, groups: list[list[Clause]], options: FtsOptions = FtsOptions()) -> str:
-    """Three words before and five after the first hit, the hit in brackets."""
-    words = re.findall(r"[A-Za-z0-9]+", text or "")
+    """Up to eight words: three before the first hit and four after it, every hit among them in brackets."""
     exact, starts = _wanted(groups)
-    for i, w in enumerate(words):
+    shown = []
+    for w in re.findall(r"[A-Za-z0-9]+", text or ""):
         key = w if options.case_sensitive else w.lower()
-        if key in exact or (starts and key.startswith(starts)):
-            left, right = max(0, i - 3), min(len(words), i + 6)
-            body = [f"[{x}]" if j == i else x for j, x in enumerate(words[left:right], start=left)]
-            return ("... " if left else "") + " ".join(body) + (" ..." if right < len(words) else "")
-    return " ".join(words[:9])
+        if tokens(w, options):
+            shown.append((w, key in exact or (bool(starts) and key.startswith(starts))))
+    first = next((i for i, (_, hit) in enumerate(shown) if hit), 0)
+    left, right = max(0, first - 3), min(len(shown), first + 5)
+    body = [f"[{w}]" if hit else w for w, hit in shown[left:right]]
+    return " ".join([*(["..."] if left else []), *body, *(["..."] if right < len(shown) else [])])
 
 
 def highlight(text: str, groups: list[list[Clause]], options: FtsOptions = FtsOptions()) -> str:
@@ -133,12 +134,19 @@ def search(df: DataFrame, text_col: str, query: str, id_col: str, limit: int = 1
     if not groups:
         return df.filter(F.lit(False)).select(*df.columns, F.lit(0.0).alias("rank"), F.lit("").alias("snippet"), F.lit("").alias("highlight"), F.lit(0).alias("search_rank"))
 
+    best = top(matches(df, text_col, query, options), F.col("rank"), limit, id_col, "rank")
+    return shown(best, text_col, query, options).select(*df.columns, "rank", "snippet", "highlight", "search_rank")
+
+
+def shown(df: DataFrame, text_col: str, query: str, options: FtsOptions = FtsOptions()) -> DataFrame:
+    """df with snippet and highlight."""
+    groups = parse(query, options)
+
     @F.pandas_udf("struct<snippet: string, highlight: string>")
-    def shown(s: pd.Series) -> pd.DataFrame:
+    def made(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"snippet": [snippet(t, groups, options) for t in s], "highlight": [highlight(t, groups, options) for t in s]})
 
-    best = top(matches(df, text_col, query, options), F.col("rank"), limit, id_col, "rank")
-    return best.withColumn("_shown", shown(F.col(text_col))).select(*df.columns, "rank", "_shown.snippet", "_shown.highlight", "search_rank")
+    return df.withColumn("_shown", made(F.col(text_col))).select(*df.columns, "_shown.snippet", "_shown.highlight")
 
 
 def rtree_intersects(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column, Column, Column]) -> Column:

@@ -18,10 +18,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.sql import register
+
 HIDDEN = ("_row_id", "_epoch")
 UNITS = {"nanosecond": 1, "microsecond": 10**3, "millisecond": 10**6, "second": 10**9, "minute": 60 * 10**9, "hour": 3600 * 10**9, "day": 86400 * 10**9, "week": 7 * 86400 * 10**9}
 
 
+MOST_KEYS = 10_000  # idempotency keys that a store remembers
+MOST_RUNS = 128  # a table of more is compacted when it is committed
+
+
 class StoreError(Exception):
     pass
 
@@ -179,6 +185,9 @@ class Store:
     def commit(self) -> int:
         if not self.dirty():
             return self.epoch
+        for name, table in self.work["tables"].items():
+            if len(table["runs"]) > MOST_RUNS:
+                self.compact(name)
         new = {**self.work, "epoch": self.epoch + 1}
         if not self.files.create(f"_manifest/{new['epoch']:012d}.json", json.dumps(new)):
             self.rollback()
@@ -255,14 +264,19 @@ class Store:
         """The table's rows at an epoch (default: with what is staged). after: rows of later epochs alone."""
         state = self.work if epoch is None else self.at(epoch)
         spec, table = self.spec(name, state), state["tables"][name]
-        rows = None
-        for run in table["runs"]:
+        rows, alike = None, {}
+        for run in table["runs"]:  # runs of one shape are one scan
             if run["kind"] == "rows" and run["epoch"] > after:
-                part = self.spark.read.parquet(f"{self.path}/{run['path']}")
-                names, there = run.get("renames", {}), set(part.columns)
-                cols = [(F.col(names.get(c.name, c.name)) if names.get(c.name, c.name) in there else F.lit(None)).cast(c.type).alias(c.name) for c in spec.columns]
-                part = part.select(*cols, *HIDDEN)
-                rows = part if rows is None else rows.unionByName(part)
+                shape = (json.dumps(run["columns"]) if "columns" in run else run["path"], json.dumps(run.get("renames", {}), sort_keys=True))
+                alike.setdefault(shape, []).append(run)
+        for runs in alike.values():
+            names, ddl = runs[0].get("renames", {}), runs[0].get("columns")
+            reader = self.spark.read.schema(", ".join(f"`{c}` {t}" for c, t in ddl)) if ddl else self.spark.read
+            part = reader.parquet(*[f"{self.path}/{r['path']}" for r in runs])
+            there = set(part.columns)
+            cols = [(F.col(names.get(c.name, c.name)) if names.get(c.name, c.name) in there else F.lit(None)).cast(c.type).alias(c.name) for c in spec.columns]
+            part = part.select(*cols, *HIDDEN)
+            rows = part if rows is None else rows.unionByName(part)
         if rows is None:
             rows = self.spark.createDataFrame([], ", ".join(f"`{c.name}` {c.type}" for c in spec.columns) + ", _row_id long, _epoch long")
         tombs = [f"{self.path}/{r['path']}" for r in table["runs"] if r["kind"] == "tombs"]
@@ -289,7 +303,7 @@ class Store:
         """Write a run and add it to the staged manifest; what was written, read back."""
         path = f"{name}/{kind}-{epoch:012d}-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{path}")
-        self.work["tables"][name]["runs"].append({"kind": kind, "epoch": epoch, "path": path})
+        self.work["tables"][name]["runs"].append({"kind": kind, "epoch": epoch, "path": path, "columns": df.dtypes})
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{path}")
 
     def _stamp(self, name: str) -> int:
@@ -401,35 +415,43 @@ class Store:
         return merged
 
     def delete(self, name: str, condition: str | Column | None = None, order_by: list[str] | None = None, limit: int | None = None) -> int:
-        spec, point = self.spec(name), self.savepoint()
+        return self.delete_rows(name, self.matched(name, condition, order_by, limit))
+
+    def delete_rows(self, name: str, rows: DataFrame) -> int:
+        """Delete rows of the table (with _row_id), and what refers to them as its foreign keys say."""
+        point = self.savepoint()
         try:
-            gone = self._matched(name, condition, order_by, limit)
+            gone = self._kept(name, rows)
             n = gone.count()
             if n:
                 for child, child_spec in ((t, self.spec(t)) for t in list(self.work["tables"])):
                     for fk in child_spec.foreign_keys:
                         if fk.table == name:
                             self._orphan(child, fk, gone)
-                self._log(name, gone, "delete")
                 self._bury(name, gone)
+                self._log(name, gone, "delete")
             self._count(n)
             return n
         except Exception:
             self.rollback_to(point)
             raise
 
-    def _matched(self, name: str, condition: str | Column | None, order_by: list[str] | None, limit: int | None) -> DataFrame:
-        """Matching rows, written down, so that what follows sees one answer."""
+    def _kept(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows written down, so that what follows sees one answer."""
+        path = f"{name}/match-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{path}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{path}")
+
+    def matched(self, name: str, condition: str | Column | None, order_by: list[str] | None = None, limit: int | None = None, only: Column | None = None) -> DataFrame:
+        """Matching rows with their hidden columns; `only` holds for all of them before order and limit count."""
         rows = self.read(name, hidden=True)
+        if only is not None:
+            rows = rows.filter(only)
         if condition is not None:
             rows = rows.filter(condition)
         if order_by:
             rows = rows.orderBy(*[F.expr(o) if not re.search(r"\b(asc|desc)\b", o, re.I) else _ordered(o) for o in order_by])
-        if limit is not None:
-            rows = rows.limit(limit)
-        path = f"{name}/match-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{path}")
-        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{path}")
+        return rows if limit is None else rows.limit(limit)
 
     def _orphan(self, child: str, fk: ForeignKey, gone: DataFrame) -> None:
         keys = gone.select(*[F.col(r).alias(c) for c, r in zip(fk.columns, fk.ref_columns, strict=True)]).distinct()
@@ -444,47 +466,91 @@ class Store:
             changed = rows
             for c in fk.columns:
                 changed = changed.withColumn(c, F.lit(None).cast(self.spec(child).column(c).type))
-            path = f"{child}/null-{uuid.uuid4().hex}"
-            changed.write.parquet(f"{self.path}/{path}")
-            changed = self.spark.read.schema(changed.schema).parquet(f"{self.path}/{path}")
+            changed = self._kept(child, changed)
             self._bury(child, changed)
-            self._write(child, changed.drop("_epoch"))
+            self._log(child, self._write(child, changed.drop("_epoch")), "update")
 
     def _cascade(self, child: str, rows: DataFrame) -> None:
-        path = f"{child}/match-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{path}")
-        gone = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{path}")
+        gone = self._kept(child, rows)
         for other in list(self.work["tables"]):
             for fk in self.spec(other).foreign_keys:
                 if fk.table == child:
                     self._orphan(other, fk, gone)
-        self._log(child, gone, "delete")
         self._bury(child, gone)
+        self._log(child, gone, "delete")
 
     def update(self, name: str, assignments: dict[str, str | Column], condition: str | Column | None = None, order_by: list[str] | None = None, limit: int | None = None) -> int:
-        spec, point = self.spec(name), self.savepoint()
+        spec = self.spec(name)
+        rows = self._kept(name, self.matched(name, condition, order_by, limit))
+        values = {c: F.expr(a) if isinstance(a, str) else a for c, a in assignments.items()}
+        for c in values:
+            spec.column(c)
+        changed = rows.select(*[(values[c].cast(spec.column(c).type) if c in values else F.col(c)).alias(c) for c in spec.names()], "_row_id")
+        n = rows.count()
+        if n:
+            self.replace_rows(name, rows, changed)
+        self.last_changes = n
+        return n
+
+    def replace_rows(self, name: str, old: DataFrame, new: DataFrame) -> None:
+        """End the versions `old` and write `new` (with the same _row_id)."""
+        point = self.savepoint()
         try:
-            rows = self._matched(name, condition, order_by, limit)
-            n = rows.count()
-            if n:
-                values = {c: F.expr(a) if isinstance(a, str) else a for c, a in assignments.items()}
-                for c in values:
-                    spec.column(c)
-                changed = rows.select(*[(values[c].cast(spec.column(c).type) if c in values else F.col(c)).alias(c) for c in spec.names()], "_row_id")
-                self._bury(name, rows)
-                done = self._write(name, changed)
-                self._check(name, done)
-                self._log(name, done, "update")
-            self.last_changes = n
-            return n
+            self._bury(name, old)
+            done = self._write(name, new)
+            self._check(name, done)
+            self._log(name, done, "update")
         except Exception:
             self.rollback_to(point)
             raise
 
+    def written(self, name: str, after: int) -> DataFrame:
+        """The table's rows that statements after a stamp of its clock wrote."""
+        return self.read(name, hidden=True, expired=True).filter(F.col("_epoch") > after)
+
     def truncate(self, name: str) -> None:
         self.spec(name)
         table = self.work["tables"][name]
         table["runs"], table["generation"] = [], table["generation"] + 1
+        self._stamp(name)
+        event = self.spark.range(1).selectExpr("CAST(NULL AS BIGINT) AS _row_id", *[f"CAST(NULL AS {c.type}) AS `{c.name}`" for c in self.spec(name).columns])
+        self._log(name, event, "truncate")
+
+    def batch(self, steps: list[dict], key: str | None = None) -> dict:
+        """Steps {op: put | upsert | delete | delete_by_pk, table, rows | where | key} as one commit. A key that was used
+        before gives the answer of then and changes nothing."""
+        done = self.work.get("batches", {})
+        if key is not None and key in done:
+            return {**done[key], "replayed": True}
+        point, counts = self.savepoint(), []
+        try:
+            for s in steps:
+                table, op = s["table"], s["op"]
+                if op in ("put", "upsert"):
+                    spec = self.spec(table)
+                    names = [c for c in spec.names() if c in {k for r in s["rows"] for k in r}]
+                    df = s["rows"] if isinstance(s["rows"], DataFrame) else self.spark.createDataFrame([tuple(r.get(c) for c in names) for r in s["rows"]], ", ".join(f"`{c}` {spec.column(c).type}" for c in names))
+                    counts.append(self.insert(table, df, "update" if op == "upsert" else "error"))
+                elif op == "delete":
+                    counts.append(self.delete(table, s["where"]))
+                elif op == "delete_by_pk":
+                    keys = self.spec(table).primary_key
+                    values = s["key"] if isinstance(s["key"], (list, tuple)) else [s["key"]]
+                    test = F.lit(True)
+                    for k, v in zip(keys, values, strict=True):
+                        test = test & (F.col(k) == F.lit(v))
+                    counts.append(self.delete(table, test))
+                else:
+                    raise StoreError(f"unknown step {op!r}")
+            answer = {"epoch": self.epoch + 1, "changes": counts}
+            if key is not None:
+                kept = {**self.work.get("batches", {}), key: answer}
+                self.work["batches"] = dict(list(kept.items())[-MOST_KEYS:])
+            self.commit()
+            return {**answer, "replayed": False}
+        except Exception:
+            self.rollback_to(point)
+            raise
 
     # Constraints
 
@@ -500,6 +566,7 @@ class Store:
             if not held.groupBy(*keys).count().filter("count > 1").isEmpty():
                 raise ConstraintError(f"{name}: {', '.join(keys)} is unique")
         for check in spec.checks:
+            register(self.spark, check)
             if not new.filter(f"({check}) IS FALSE").isEmpty():
                 raise ConstraintError(f"{name}: check {check} failed")
         for fk in spec.foreign_keys:
@@ -545,7 +612,9 @@ class Store:
         rows = self.read(name, hidden=True, expired=False)
         path = f"{name}/rows-compact-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{path}")
-        self.work["tables"][name]["runs"] = [{"kind": "rows", "epoch": self.work["tables"][name].get("clock", 0), "path": path}]
+        table = self.work["tables"][name]
+        table["runs"] = [{"kind": "rows", "epoch": table.get("clock", 0), "path": path, "columns": rows.dtypes}]
+        table["generation"] += 1  # what counted rows by their run's epoch counts anew
 
     def vacuum(self) -> list[str]:
         """Delete folders that no retained manifest names."""
@@ -565,7 +634,11 @@ class Store:
             other.create_table(name, self.spec(name, self.base))
             other._run(name, self.read(name, epoch=self.epoch, hidden=True), "rows", 1)
             other.work["tables"][name] |= {"next": self.base["tables"][name]["next"], "clock": 1}
-        other.work["views"] = copy.deepcopy(self.base["views"])
+        for part in ("views", "materialized", "procedures", "triggers", "security", "virtual"):
+            if part in self.base:
+                other.work[part] = copy.deepcopy(self.base[part])
+        for view in other.work["materialized"].values():
+            view["clock"] = -1  # the copy has no change log of before, so the first refresh is a full one
         other.commit()
         return other
 
