@@ -64,12 +64,20 @@ def atan2(y: Column, x: Column) -> Column:
     return nan_to_null(F.atan2(_double(y), _double(x)))
 
 
-def ceil(x: Column) -> Column:
-    return F.ceil(_double(x)).cast("double")
+def _whole(f, low: bool):
+    """Double results: what is whole already, and a zero's sign, stays."""
+
+    def call(x: Column) -> Column:
+        v = _double(x)
+        out = F.when((F.abs(v) >= F.lit(float(1 << 52))) | (v == 0), v)
+        if low:
+            out = out.when((v > -1) & (v < 0), F.lit(-0.0))
+        return out.otherwise(f(v).cast("double"))
+
+    return call
 
 
-def floor(x: Column) -> Column:
-    return F.floor(_double(x)).cast("double")
+ceil, floor = _whole(F.ceil, True), _whole(F.floor, False)
 
 
 def _log(f):

@@ -159,6 +159,17 @@ def _abs(a: list[str]) -> str:
     return f"abs(nullif({a[0]}, -9223372036854775808L))"
 
 
+def _whole(name: str) -> Callable[[list[str]], str]:
+    """ceil and floor as doubles: what is whole already, and a zero's sign, stays."""
+
+    def made(a: list[str]) -> str:
+        x = _double(a[0])
+        low = f" WHEN {x} > -1 AND {x} < 0 THEN -0.0D" if name == "ceil" else ""
+        return f"CASE WHEN abs({x}) >= 4503599627370496.0D OR {x} = 0 THEN {x}{low} ELSE CAST({name}({x}) AS DOUBLE) END"
+
+    return made
+
+
 def _log_of(a: list[str]) -> str:
     return _log("log10")(a) if len(a) == 1 else _not_nan(f"(({_log('ln')(a[1:])}) / nullif({_log('ln')(a[:1])}, 0.0D))")
 
@@ -281,19 +292,13 @@ def _extreme(name: str) -> Callable[[list[str]], str | None]:
 
 
 def _rank(a: list[str]) -> str:
-    """Sum over the query's tokens of tf 2.2 / (tf + 1.2): the text is split once and its tokens are counted in one pass."""
-    wanted: dict[str, int] = {}
-    for token in re.split(r"[\W_]+", literal(a[1]).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))):
-        if token:
-            wanted[token] = wanted.get(token, 0) + 1
+    """As strings.fts_rank: one pass of a pattern finds the hits, which are counted by token."""
+    wanted = S.rank_tokens(literal(a[1]))
     if not wanted:
         return f"CASE WHEN {a[0]} IS NOT NULL THEN 0.0D END"
-    words = f"split(translate({a[0]}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), r'[^\\p{{L}}\\p{{N}}]+', -1)".replace("{{", "{").replace("}}", "}")
-    names = sorted(wanted)
-    zero = f"array({', '.join('0' for _ in names)})"
-    step = f"transform(s, (c, i) -> c + CASE WHEN element_at(array({', '.join(map(quoted, names))}), i + 1) = w THEN 1 ELSE 0 END)"
-    weights = f"array({', '.join(f'{float(wanted[n])}D' for n in names)})"
-    return f"aggregate(zip_with(aggregate(filter({words}, w -> w IN ({', '.join(map(quoted, names))})), {zero}, (s, w) -> {step}), {weights}, (tf, k) -> k * tf * 2.2D / (tf + 1.2D)), 0.0D, (s, x) -> s + x)"
+    hits = f"regexp_extract_all(translate({a[0]}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {quoted(S.rank_pattern(wanted))}, 1)"
+    terms = " + ".join(f"transform(array(CAST(size(filter(h, w -> w = {quoted(t)})) AS DOUBLE)), tf -> {float(n)}D * tf * 2.2D / (tf + 1.2D))[0]" for t, n in wanted.items())
+    return f"transform(array({hits}), h -> 0.0D + {terms})[0]"
 
 
 # Functions over Arrow batches
@@ -414,7 +419,7 @@ def batched(f: Callable, kind: str):
     arrow = F.arrow_udf  # types come as they are: no integer becomes a float because a row is null
 
     def over(*columns: pa.Array) -> pa.Array:
-        lists = [[_value(v) for v in c.to_pylist()] for c in columns]
+        lists = [c.to_pylist() if pa.types.is_string(c.type) else [_value(v) for v in c.to_pylist()] for c in columns]
         made = [f(*row) for row in zip(*lists, strict=True)]
         return pa.array(made, arrow_type)
 
@@ -524,9 +529,9 @@ SCALARS: dict[str, tuple[int, int, Maker]] = {
     "round": (1, 2, _round),
     "sign": (1, 1, lambda a: f"CAST(sign({_double(a[0])}) AS BIGINT)"),
     "atan2": (2, 2, _plain_math("atan2")),
-    "ceil": (1, 1, lambda a: f"CAST(ceil({_double(a[0])}) AS DOUBLE)"),
-    "ceiling": (1, 1, lambda a: f"CAST(ceil({_double(a[0])}) AS DOUBLE)"),
-    "floor": (1, 1, lambda a: f"CAST(floor({_double(a[0])}) AS DOUBLE)"),
+    "ceil": (1, 1, _whole("ceil")),
+    "ceiling": (1, 1, _whole("ceil")),
+    "floor": (1, 1, _whole("floor")),
     "ln": (1, 1, _log("ln")),
     "log10": (1, 1, _log("log10")),
     "log2": (1, 1, _log("log2")),

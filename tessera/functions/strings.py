@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.bind import let
+
 
 def _text(c: Column) -> Column:
     return c.cast("string")
@@ -200,20 +202,39 @@ def _extreme(f, parts, numeric: bool) -> Column:
 
 def fts_rank(text: Column, query: str) -> Column:
     """Sum over the query's tokens, repeats counted, of tf 2.2 / (tf + 1.2); tokens are ASCII-lower-cased runs of
-    letters and digits. Null text gives null."""
+    letters and digits. Null text gives null. One pass of a pattern finds the hits; only they become an array."""
+    wanted = rank_tokens(query)
+    if not wanted:
+        return F.when(text.isNotNull(), F.lit(0.0))
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.split(lower, r"[^\p{L}\p{N}]+", -1)
-    total = F.lit(0.0)
-    for token, times in sorted(Counter(t for t in re.split(r"[\W_]+", re.sub(r"[A-Z]", lambda m: m[0].lower(), query)) if t).items()):
-        tf = F.size(F.filter(words, _equals(token))).cast("double")
-        total = total + F.lit(float(times)) * tf * F.lit(2.2) / (tf + F.lit(1.2))
-    return F.when(text.isNotNull(), total)
+
+    def total(hits: Column) -> Column:
+        parts = F.lit(0.0)
+        for token, times in wanted.items():
+            parts = parts + let(F.size(F.filter(hits, _equals(token))).cast("double"), _damped(float(times)))
+        return parts
+
+    return let(F.regexp_extract_all(lower, F.lit(rank_pattern(wanted)), F.lit(1)), total)
 
 
 def _equals(token: str):
     return lambda w: w == token
 
 
+def _damped(times: float):
+    return lambda tf: F.lit(times) * tf * F.lit(2.2) / (tf + F.lit(1.2))
+
+
+def rank_tokens(query: str) -> dict[str, int]:
+    lower = query.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return dict(sorted(Counter(t for t in re.split(r"[\W_]+", lower) if t).items()))
+
+
+def rank_pattern(wanted: dict[str, int]) -> str:
+    """Finds whole tokens: no letter or digit stands beside them."""
+    return r"(?<![\p{L}\p{N}])(" + "|".join(map(re.escape, wanted)) + r")(?![\p{L}\p{N}])"
+
+
 def soundex_of(word: str | None) -> str | None:
     """Letters code to digits, h and w end a run like vowels do; '?000' without a letter."""
     if word is None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import os
@@ -11,8 +12,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 RESERVOIR = 8192
+MERGE = 32
 
 
 def cut(df: DataFrame, keep: bool = True) -> DataFrame:
@@ -29,7 +32,8 @@ def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct:
     """WITH RECURSIVE: rows of the seed and of step(new rows), round by round, until no new row comes. distinct (UNION)
     drops rows met before; otherwise (UNION ALL) only an empty round ends it. After `rounds` it stops."""
     names = seed.columns
-    total = fresh = cut(seed.distinct() if distinct else seed)
+    fresh = cut(seed.distinct() if distinct else seed)
+    parts, total = [fresh], fresh
     for _ in range(rounds):
         more = step(fresh).toDF(*names)
         if distinct:
@@ -37,7 +41,12 @@ def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct:
         fresh = cut(more)
         if fresh.isEmpty():
             return total
-        total = cut(total.unionByName(fresh))
+        # Each round's rows are written once; every MERGE rounds their pieces become one, so plans stay short.
+        parts.append(fresh)
+        total = functools.reduce(DataFrame.unionByName, parts)
+        if len(parts) > MERGE:
+            total = cut(total)
+            parts = [total]
     return total
 
 
@@ -51,6 +60,18 @@ def series(spark: SparkSession, *bounds: int) -> DataFrame:
     return spark.range(start, stop + (1 if step > 0 else -1), step).select(F.col("id").alias("value"))
 
 
+def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, left_id: str, value: str) -> DataFrame:
+    """(left_id, value) of the last right row of the same key at or before each left row; left rows without one are left
+    out. Both sides are sorted once by key and time and the last value is carried along: no pair is formed. Of right rows
+    at one time the one with the greatest value counts. Nulls in keys and times match nothing."""
+    asked = left.select(F.col(by).alias("_k"), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.col(left_id).alias("_id"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
+    held = right.select(F.col(by).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema[left_id].dataType).alias("_id"), F.col(value).alias("_v"))
+    both = asked.unionByName(held).filter("_k IS NOT NULL AND _t IS NOT NULL")
+    w = Window.partitionBy("_k").orderBy("_t", "_side", F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = both.withColumn("_last", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1 AND _last IS NOT NULL")
+    return carried.select(F.col("_id").alias(left_id), F.col("_last").alias(value))
+
+
 @dataclass(frozen=True)
 class Estimate:
     point: float | None
@@ -71,7 +92,13 @@ def approx_aggregate(df: DataFrame, kind: str, column: str | None, key: str, con
         return Estimate(float(n), float(n), float(n), n, min(n, size), min(n, size))
     passing = condition if condition is not None else F.lit(True)
     value = F.col(column).cast("double") if column else F.lit(1.0)
-    sample = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))).orderBy("_h", key).limit(size)
+    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
+    # Twice the share that is wanted has the sample's rows with near certainty, so almost nothing is sorted; else all is.
+    low = int(-(1 << 63) + min(1.0, 2.0 * size / max(n, 1)) * ((1 << 64) - 1))
+    few = hashed.filter(F.col("_h") <= min(low, (1 << 63) - 1))
+    if n > 4 * size and few.count() < size:
+        few = hashed
+    sample = few.orderBy("_h", key).limit(size)
     kept = sample.select(F.when(F.coalesce(passing, F.lit(False)) & value.isNotNull(), value).alias("v"))
     row = kept.agg(F.count("*").alias("m"), F.count("v").alias("k"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")).first()
     m, k, s, q = row["m"], row["k"], row["s"] or 0.0, row["q"] or 0.0

@@ -1,22 +1,29 @@
 """Retrieval over columns: dense vectors, sparse vectors, sets, and their fusion.
 
-Every search is one pass that scores rows in the JVM and a bounded top-k (score, then id), so no ordered or grouped
-shuffle of the table is needed. Filters run before ranking: a row that they drop never takes a place among the k.
+A search of one query is one pass that scores rows in the JVM and a bounded top-k (score, then id), so no ordered or
+grouped shuffle of the table is needed; MinHash signatures alone are made in Arrow batches. A search of many queries is a
+join on cells or bands with a bounded top-k for each query. Filters run before ranking: a row that they drop never takes
+a place among the k.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.bind import let
+
 MAX_K = 10_000
 MASK = (1 << 64) - 1
 
@@ -57,7 +64,9 @@ def similarity(vec: Column, query: list[float], metric: str) -> Column:
 def top(df: DataFrame, score: Column, k: int, id_col: str, name: str, ascending: bool = False) -> DataFrame:
     """The k best rows with `name` and search_rank from 1; ties by id. The rank is numbered over k rows alone."""
     order = [F.col(name).asc() if ascending else F.col(name).desc(), F.col(id_col).asc()]
-    best = df.withColumn(name, score).filter(F.col(name).isNotNull()).orderBy(*order).limit(_k(k))
+    order[0] = F.col(name).asc_nulls_last() if ascending else F.col(name).desc_nulls_last()
+    # Rows without a score come last and go after the limit, so the score is evaluated once for a row.
+    best = df.withColumn(name, score).orderBy(*order).limit(_k(k)).filter(F.col(name).isNotNull())
     return best.withColumn("search_rank", F.row_number().over(Window.orderBy(*order)))
 
 
@@ -90,37 +99,74 @@ def rerank(candidates: DataFrame, vec_col: str, query: list[float], limit: int,
 
 
 class IvfIndex:
-    """Inverted lists: k-means centres from a bounded sample (`sample` rows, documented bound), every row assigned to
-    its nearest centre; a search reads the `probes` nearest lists exactly."""
+    """Inverted lists: k-means centres from a bounded sample (`sample` rows, documented bound), every row assigned to its
+    nearest centre. With a path the table is stored partitioned by cell, and a search reads the files of its cells alone.
+    What probes recall costs is measured, not assumed: see `recall`."""
 
-    def __init__(self, df: DataFrame, vec_col: str, id_col: str, cells: int = 32, sample: int = 20_000, seed: int = 3) -> None:
-        self.vec_col, self.id_col = vec_col, id_col
+    def __init__(self, df: DataFrame, vec_col: str, id_col: str, cells: int = 32, sample: int = 20_000, seed: int = 3, path: str | None = None) -> None:
+        self.vec_col, self.id_col, self.cells = vec_col, id_col, cells
         part = df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed))).limit(sample).select(vec_col).toPandas()[vec_col]
-        points = np.array(part.tolist(), dtype=np.float64)
+        points = np.array([p for p in part.tolist() if p is not None], dtype=np.float64)
         rnd = np.random.default_rng(seed)
         self.centres = points[rnd.choice(len(points), min(cells, len(points)), replace=False)]
         for _ in range(15):
-            own = self._nearest(points, self.centres)
+            own = self._nearest(points, self.centres, 1)[:, 0]
             self.centres = np.array([points[own == i].mean(axis=0) if (own == i).any() else c for i, c in enumerate(self.centres)])
-        centres, nearest = self.centres, self._nearest
-
-        @F.pandas_udf("int")
-        def assign(s: pd.Series) -> pd.Series:
-            return pd.Series(nearest(np.array(s.tolist(), dtype=np.float64), centres).astype("int32"))
-
-        self.table = df.withColumn("_cell", assign(F.col(vec_col)))
+        self.table = df.withColumn("_cell", self._cells(F.col(vec_col), 1)[0])
+        if path:
+            self.table.write.partitionBy("_cell").parquet(path)
+            self.table = df.sparkSession.read.parquet(path)
 
     @staticmethod
-    def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    def _nearest(points: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
         if not len(points):
-            return np.zeros(0, dtype=int)
-        return ((centres * centres).sum(axis=1)[None] - 2 * points @ centres.T).argmin(axis=1)
+            return np.zeros((0, probes), dtype=int)
+        away = (centres * centres).sum(axis=1)[None] - 2 * points @ centres.T
+        return np.argsort(away, axis=1, kind="stable")[:, :probes]
+
+    def _cells(self, vec: Column, probes: int) -> Column:
+        centres, nearest = self.centres, self._nearest
+
+        def assign(column: pa.Array) -> pa.Array:
+            there = np.flatnonzero(column.is_valid())
+            points = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(there), -1) if len(there) else np.zeros((0, 1))
+            out: list = [None] * len(column)
+            for i, cells in zip(there.tolist(), nearest(points, centres, probes).tolist(), strict=True):
+                out[i] = cells
+            return pa.array(out, pa.list_(pa.int32()))
+
+        return F.arrow_udf(assign, "array<int>")(vec)
 
     def search(self, query: list[float], k: int, probes: int = 4, metric: str = "l2") -> DataFrame:
-        away = ((self.centres - np.array(_checked(query))) ** 2).sum(axis=1)
-        cells = [int(c) for c in away.argsort()[:probes]]
+        cells = [int(c) for c in self._nearest(np.array([_checked(query)]), self.centres, probes)[0]]
         return vector_search(self.table.filter(F.col("_cell").isin(cells)), self.vec_col, query, k, self.id_col, metric).drop("_cell")
 
+    def search_all(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
+        """query_id, id, distance, search_rank: the k nearest (l2) among each query's cells. Queries meet rows by a join on
+        the cell, and a query's candidates are cut to k in each task before they shuffle."""
+        asked = queries.select(F.col(self.id_col).alias("query_id"), F.col(self.vec_col).alias("_q")).withColumn("_cell", F.explode(self._cells(F.col("_q"), probes)))
+        return _best(asked.join(self.table.select("_cell", F.col(self.id_col).alias("id"), F.col(self.vec_col).alias("_v")), "_cell"), k)
+
+    def recall(self, queries: DataFrame, k: int, probes: int) -> float:
+        """The share of the queries' exact k nearest rows that search_all finds."""
+        found = self.search_all(queries, k, probes).select("query_id", "id")
+        exact = exact_search_all(self.table, queries, self.vec_col, self.id_col, k).select("query_id", "id")
+        hits = exact.join(found, ["query_id", "id"], "left_semi").count()
+        return hits / max(1, exact.count())
+
+
+def _best(pairs: DataFrame, k: int) -> DataFrame:
+    away = pairs.select("query_id", "id", F.sqrt(F.aggregate(F.zip_with("_q", "_v", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)).alias("distance"))
+    w = Window.partitionBy("query_id").orderBy("distance", "id")
+    return away.withColumn("search_rank", F.row_number().over(w)).filter(F.col("search_rank") <= _k(k))
+
+
+def exact_search_all(df: DataFrame, queries: DataFrame, vec_col: str, id_col: str, k: int) -> DataFrame:
+    """query_id, id, distance, search_rank of the k nearest rows (l2) of every query, without an index: a stated query set
+    against all rows. Candidates are cut to k for each query inside each task (the window's group limit)."""
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("_q"))
+    return _best(asked.crossJoin(df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v"))), k)
+
 
 def sparse_vector(text: str) -> list[tuple[int, float]]:
     """'[[token, weight], ...]' with equal tokens summed, sorted by token."""
@@ -136,13 +182,16 @@ def sparse_search(df: DataFrame, sparse_col: str, query: list[tuple[int, float]]
     """Sum of products over shared tokens; rows without one do not match. sparse_col: array of struct(token, weight)."""
     if not query:
         raise ValueError("a sparse query has one token at least")
-    # The query's postings are broadcast (it is one literal query); a row's products are summed map-side.
-    postings = F.broadcast(df.sparkSession.createDataFrame([(int(t), float(w)) for t, w in dict(query).items()], "token int, _q double"))
-    terms = df.select(F.col(id_col).alias("_id"), F.explode(sparse_col).alias("_e")).select("_id", F.col("_e.token").cast("int").alias("token"), F.col("_e.weight").cast("double").alias("_w"))
-    scored = terms.join(postings, "token").groupBy("_id").agg(F.sum(F.col("_w") * F.col("_q")).alias("_score"))
-    best = F.broadcast(scored.orderBy(F.desc("_score"), "_id").limit(_k(k)))
-    found = df.join(best, df[id_col] == best["_id"]).drop("_id")
-    return top(found, F.col("_score"), k, id_col, "sparse_score").drop("_score")
+    buckets = 1 << max(0, (len(query) - 1).bit_length())
+    held: list[list[dict]] = [[] for _ in range(buckets)]
+    for t, w in dict(query).items():
+        held[int(t) % buckets].append({"t": int(t), "w": float(w)})
+    # The query as a literal array of small arrays: a lookup is a place and an entry or two, and a row is scored where it is.
+    places = F.from_json(F.lit(json.dumps(held)), "array<array<struct<t: int, w: double>>>")
+    found = lambda e: F.get(F.filter(F.element_at(places, F.pmod(e["token"].cast("int"), F.lit(buckets)) + 1), lambda p: p["t"] == e["token"].cast("int")), 0)["w"]
+    products = F.transform(df[sparse_col], lambda e: e["weight"].cast("double") * found(e))
+    score = F.aggregate(products, F.lit(None).cast("double"), lambda s, x: F.coalesce(s + x, s, x))
+    return top(df, score, k, id_col, "sparse_score")
 
 
 def set_members(text: str) -> list[str]:
@@ -172,6 +221,7 @@ def _splitmix(state: int) -> tuple[int, int]:
     return state, z ^ (z >> 31)
 
 
+@functools.cache
 def coefficients(slots: int = 128, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Odd multipliers and offsets of the slots, drawn by splitmix64."""
     a, b = [], []
@@ -187,17 +237,26 @@ def signature(members: list[str], slots: int = 128) -> np.ndarray:
     """Per slot the least (a h + b) >> 32 over the members; all ones for the empty set."""
     if not len(members):
         return np.full(slots, 0xFFFFFFFF, dtype=np.int64)
+    return _signed(np.array([member_hash(m) for m in members], dtype=np.uint64), slots)
+
+
+def _signed(h: np.ndarray, slots: int) -> np.ndarray:
     a, b = coefficients(slots)
-    h = np.array([member_hash(m) for m in members], dtype=np.uint64)
     return ((h[:, None] * a + b) >> np.uint64(32)).min(axis=0).astype(np.int64)
 
 
 def signatures(members: Column, slots: int = 128) -> Column:
-    @F.pandas_udf("array<bigint>")
-    def made(s: pd.Series) -> pd.Series:
-        return pd.Series([None if m is None else signature(list(m), slots) for m in s])
+    def made(column: pa.Array) -> pa.Array:
+        # Members are hashed once a batch, however many rows have them.
+        words = column.flatten().dictionary_encode()
+        hashes = np.array([member_hash(w) for w in words.dictionary.to_pylist()], dtype=np.uint64)
+        h, starts = hashes[words.indices.to_numpy()], np.r_[0, np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy())]
+        empty = np.full(slots, 0xFFFFFFFF, dtype=np.int64)
+        rows = [_signed(h[i:j], slots) if j > i else empty for i, j in zip(starts, starts[1:], strict=False)]
+        flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * slots, pa.int32()), pa.array(flat, pa.int64()), mask=column.is_null())
 
-    return made(members)
+    return F.arrow_udf(made, "array<bigint>")(members)
 
 
 def minhash_search(df: DataFrame, members_col: str, query: list[str], k: int, id_col: str, slots: int = 128, bands: int = 32) -> DataFrame:
@@ -213,22 +272,57 @@ def minhash_search(df: DataFrame, members_col: str, query: list[str], k: int, id
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Exact similarity of two arrays as sets; null where both are empty."""
-    both = F.size(F.array_intersect(a, b))
-    return both / F.nullif((F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - both).cast("double"), F.lit(0.0))
+    """Exact similarity of two arrays as sets; null where both are empty. Each side is evaluated once."""
+    share = lambda x, y, n: x / F.nullif((n + F.size(F.array_distinct(y)) - x).cast("double"), F.lit(0.0))
+    return let(a, lambda x: let(b, lambda y: let(F.size(F.array_intersect(x, y)), lambda both: share(both, y, F.size(F.array_distinct(x))))))
+
+
+def jaccard_to(a: Column, query: list[str]) -> Column:
+    """jaccard with one query set."""
+    members = sorted(set(query))
+    literal = F.array(*[F.lit(m) for m in members]).cast("array<string>")
+    n = F.lit(len(members))
+    return let(F.array_distinct(a), lambda x: let(F.size(F.array_intersect(x, literal)), lambda both: both / F.nullif((F.size(x) + n - both).cast("double"), F.lit(0.0))))
 
 
 def set_similarity(df: DataFrame, members_col: str, query: list[str], candidate_k: int, min_jaccard: float, limit: int, id_col: str) -> DataFrame:
     """MinHash candidates by exact Jaccard of min_jaccard and more; an empty query finds nothing."""
     found = minhash_search(df, members_col, query, candidate_k, id_col).drop("search_rank")
-    exact = jaccard(found[members_col], F.array(*[F.lit(m) for m in query]).cast("array<string>"))
-    return top(found, F.when(exact >= min_jaccard, exact), limit, id_col, "exact_jaccard")
+    return top(found, _least(jaccard_to(found[members_col], query), min_jaccard), limit, id_col, "exact_jaccard")
+
+
+def _least(score: Column, least: float) -> Column:
+    return let(score, lambda s: F.when(s >= least, s))
 
 
 def jaccard_search(df: DataFrame, members_col: str, query: list[str], k: int, id_col: str, min_jaccard: float = 0.0) -> DataFrame:
     """Exact set similarity without candidates: one pass over all rows."""
-    exact = jaccard(df[members_col], F.array(*[F.lit(m) for m in query]).cast("array<string>"))
-    return top(df, F.when(exact >= min_jaccard, exact), k, id_col, "exact_jaccard")
+    return top(df, _least(jaccard_to(df[members_col], query), min_jaccard), k, id_col, "exact_jaccard")
+
+
+def minhash_search_all(df: DataFrame, queries: DataFrame, members_col: str, id_col: str, k: int, min_jaccard: float, slots: int = 128, bands: int = 32) -> DataFrame:
+    """query_id, id, exact_jaccard, search_rank: for each query its k most similar other rows of min_jaccard and more that
+    share a band with it. A pair of similarity s shares a band with probability 1 - (1 - s^(slots / bands))^bands.
+
+    Equal sets meet once: a set stands for the k least of its ids, which is all that a top-k by similarity and id can use of
+    it, and one more, as a query does not find itself. So a group of copies costs its size and not its square."""
+    width = slots // bands
+    keyed = lambda d: d.filter(F.size(members_col) > 0).select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(members_col)).alias("m")).withColumn("f", F.xxhash64("m"))
+    banded = lambda d: d.withColumn("_sig", signatures(F.col("m"), slots)).select("f", "m", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("_sig", i * width + 1, F.lit(width))))).alias("band"))
+    rows, asked = keyed(df), keyed(queries)
+    sets = rows.groupBy("f").agg(F.first("m").alias("m"))
+    # The k + 1 least ids of a set, ranked before they shuffle.
+    w = Window.partitionBy("f").orderBy("id")
+    ids = rows.select("f", "id").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k + 1).drop("_r")
+    query_sets = asked.groupBy("f").agg(F.first("m").alias("m"))
+    left = banded(query_sets).select(F.col("f").alias("qf"), "band")
+    right = banded(sets).select("f", "band")
+    pairs = left.join(right, "band").select("qf", "f").distinct()
+    scored = pairs.join(query_sets.select(F.col("f").alias("qf"), F.col("m").alias("qm")), "qf").join(sets, "f")
+    scored = scored.select("qf", "f", jaccard(F.col("qm"), F.col("m")).alias("exact_jaccard")).filter(F.col("exact_jaccard") >= min_jaccard)
+    found = scored.join(ids, "f").join(asked.select(F.col("id").alias("query_id"), F.col("f").alias("qf")), "qf").filter("id <> query_id")
+    best = Window.partitionBy("query_id").orderBy(F.desc("exact_jaccard"), "id")
+    return found.select("query_id", "id", "exact_jaccard").withColumn("search_rank", F.row_number().over(best)).filter(F.col("search_rank") <= _k(k))
 
 
 @dataclass(frozen=True)

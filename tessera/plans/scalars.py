@@ -63,24 +63,12 @@ def str_printf(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", S.printf("%05d|%-8.5s|%.2f", F.col("p_partkey"), F.col("p_brand"), F.col("p_retailprice")).alias("f"), S.trim(F.col("p_brand"), "B#").alias("t"))
 
 
-_MATH = """SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN '-inf'::DOUBLE ELSE round(ln(l_discount), 9) END AS ln, round(sqrt(l_quantity), 9) AS rt,
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN '-inf'::DOUBLE ELSE round(ln(l_discount), 9) END AS ln, round(sqrt(l_quantity), 9) AS rt,
  CASE WHEN l_quantity - 25 > 0 THEN 1 WHEN l_quantity < 25 THEN -1 ELSE 0 END::BIGINT AS sg, fmod(l_quantity, 7) AS md, round(log10(l_quantity), 9) AS lg,
- ceil(l_tax) AS ce, CASE WHEN l_quantity > 1 THEN NULL ELSE round(acos(l_quantity), 9) END AS ac FROM lineitem"""
-
-
-def _math(lineitem):
-    q, r = F.col("l_quantity"), lambda c: F.round(c, 9)
-    return lineitem.select("l_orderkey", "l_linenumber", r(M.ln(F.col("l_discount"))).alias("ln"), r(M.sqrt(q)).alias("rt"), M.sign(q - 25).alias("sg"), M.mod(q, F.lit(7.0)).alias("md"), r(M.log(q)).alias("lg"), M.ceil(F.col("l_tax")).alias("ce"), r(M.acos(q)).alias("ac"))
-
-
-@query(f"{_MATH} WHERE l_orderkey < 3000")
+ ceil(l_tax) AS ce, CASE WHEN l_quantity > 1 THEN NULL ELSE round(acos(l_quantity), 9) END AS ac FROM lineitem""")
 def math_basic(spark, sf_dir):
-    return _math(table(spark, sf_dir, "lineitem").filter("l_orderkey < 3000"))
-
-
-@query(_MATH)
-def math_basic_whole(spark, sf_dir):
-    return _math(table(spark, sf_dir, "lineitem"))
+    q, r = F.col("l_quantity"), lambda c: F.round(c, 9)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r(M.ln(F.col("l_discount"))).alias("ln"), r(M.sqrt(q)).alias("rt"), M.sign(q - 25).alias("sg"), M.mod(q, F.lit(7.0)).alias("md"), r(M.log(q)).alias("lg"), M.ceil(F.col("l_tax")).alias("ce"), r(M.acos(q)).alias("ac"))
 
 
 @query("""SELECT p_brand, coalesce(CAST(sum(p_size) AS DOUBLE), 0.0) AS tot, round(quantile_cont(p_retailprice, 0.5), 6) AS med, round(quantile_cont(p_retailprice, 0.9), 6) AS p90,

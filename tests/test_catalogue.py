@@ -45,7 +45,7 @@ def test_rectangle_join_of_whole_tables(spark):
 
     r = [tuple(map(float, x)) for x in on_tables(spark, SF, _RECT).select("id", "x0", "x1", "y0", "y1").collect()]
     want = sorted((int(a[0]), int(b[0])) for a in r for b in r if a[1] <= b[2] and b[1] <= a[2] and a[3] <= b[4] and b[3] <= a[4])
-    assert sorted(tuple(x) for x in queries()["rectangle_join_whole"](spark, SF).collect()) == want
+    assert sorted(tuple(x) for x in queries()["rectangle_join"](spark, SF).collect()) == want
 
 
 @pytest.mark.parametrize("name", ["store_upsert_delete", "store_as_of", "mv_incremental", "change_stream"])
@@ -56,10 +56,10 @@ def test_store_queries_of_whole_tables_have_no_id_bound(spark, tmp_path, name):
     spark.read.parquet(f"{SF}/orders.parquet").withColumn("o_orderkey", F.col("o_orderkey") + 100_000).write.parquet(str(tmp_path / "orders.parquet"))
     con = connection(SF)
     con.execute("CREATE OR REPLACE VIEW orders AS SELECT * FROM read_parquet('" + str(tmp_path / "orders.parquet") + "/*.parquet')")
-    same(queries()[f"{name}_whole"](spark, str(tmp_path)), con, oracle_sql()[f"{name}_whole"])
+    same(queries()[name](spark, str(tmp_path)), con, oracle_sql()[name])
 
 
 @pytest.mark.parametrize(("name", "source"), [("math_basic", "lineitem"), ("project_computed", "lineitem"), ("join_right", "customer"), ("join_full", "customer"), ("window_rank", "orders")])
 def test_whole_queries_keep_every_row(spark, name, source):
     rows = spark.read.parquet(f"{SF}/{source}.parquet").count()
-    assert queries()[f"{name}_whole"](spark, SF).count() >= rows
+    assert queries()[name](spark, SF).count() >= rows
