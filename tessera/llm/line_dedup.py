@@ -3,15 +3,17 @@
 1. Every task hashes its lines' keys and hands on the filter positions of keys it met in one row and in several.
    Merging keeps two filters for a segment of the bits: a bit that a second chunk sets goes to the twice-seen filter,
    so a key in two rows has all its bits there. (Two keys may share bits: that only adds suspects.)
-2. The twice-seen filter has a fixed size (`filter_bits`) and is broadcast. Only lines whose key passes it shuffle, as
-   128-bit hash and row id, and are counted exactly; the filter decides nothing else. On a corpus that fills the
-   filter more lines pass, up to all of them, and the result is the same.
+2. The filters have BITS_A_LINE bits for each line, counted first, up to MOST_BITS (128 MB), and the twice-seen one is
+   broadcast. Only lines whose key passes it shuffle, as 128-bit hash and row id, and are counted exactly; the filter
+   decides nothing else. On a corpus that fills MOST_BITS more lines pass, up to all of them, and the result is the same.
 3. Confirmed keys go back to the texts: as a broadcast table while there are at most `broadcast_keys` of them, else by
    a join on the key with salted copies, regrouped by row.
 
 Defined cases: a null or empty text is one empty line; a key shorter than `min_chars` never drops; rows that repeat an
-id count as one document, and all of them keep the lines if they are the holder; an empty table gives an empty result;
-further columns stay as they are, and a helper column never clashes because only id and text enter the work.
+id count as one document, and all of them keep the lines if they are the holder; a row without an id counts as no document
+and keeps all its lines; a very long text is one row like any other, cut nowhere; an empty table gives an empty result;
+further columns stay as they are, but for n_lines and n_dropped, which the result replaces; helper columns take names that
+the table does not have.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialize, slices
+from tessera.llm.common import materialize, slices, spare
 
 STRIPPED = " \t\n\x0b\x0c\r"
 HASHES, SEGMENT_BITS, FLUSH = 2, 23, 1 << 20
+BITS_A_LINE, MOST_BITS = 16, 1 << 30
 
 
 def line_keys(text: str | None, min_chars: int) -> list[bytes | None]:
@@ -80,8 +83,15 @@ def _merge_segments(df: DataFrame, groups: int) -> DataFrame:
     return dealt.sortWithinPartitions("segment", "chunk").mapInPandas(merge, df.schema)
 
 
+def bits_for(docs: DataFrame, text_col: str) -> int:
+    """A power of two of at least BITS_A_LINE bits a line, one segment at least and MOST_BITS at most."""
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    lines = docs.agg(F.sum(F.length(text) - F.length(F.translate(text, "\n", "")) + 1)).first()[0] or 0
+    return min(MOST_BITS, max(1 << SEGMENT_BITS, 1 << (BITS_A_LINE * int(lines) - 1).bit_length()))
+
+
 def twice_seen(docs: DataFrame, text_col: str, min_chars: int, filter_bits: int) -> np.ndarray:
-    """The twice-seen filter of all line keys, as packed bytes: filter_bits / 8 of them, whatever the corpus."""
+    """The twice-seen filter of all line keys, as packed bytes: filter_bits / 8 of them."""
     segments = max(1, filter_bits >> SEGMENT_BITS)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
@@ -121,9 +131,10 @@ def twice_seen(docs: DataFrame, text_col: str, min_chars: int, filter_bits: int)
     return bits
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, filter_bits: int = 1 << 27) -> tuple[DataFrame, DataFrame]:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, filter_bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(suspects, confirmed): the suspected (k1, k2, doc) occurrences, one for each key and id, and the keys found
     in at least min_docs documents with `holder`, the largest id that has the key. Both are written tables."""
+    filter_bits = filter_bits or bits_for(docs, text_col)
     seen = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, text_col, min_chars, filter_bits))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +153,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, picked)), dtype=">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([ids[i] for i in np.flatnonzero(hit)], pa.int64())], names=["k1", "k2", "doc"])
 
-    rows = docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col]).mapInArrow(suspects, "k1 long, k2 long, doc long")
+    rows = docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col]).filter(F.col(id_col).isNotNull()).mapInArrow(suspects, "k1 long, k2 long, doc long")
     found = materialize(rows, "suspects")
     counted = found.distinct().groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc").alias("holder"))
     return found, materialize(counted.filter(F.col("n") >= min_docs).select("k1", "k2", "holder"), "repeated")
@@ -155,7 +166,7 @@ def _apply(text: str | None, doc: int | None, min_chars: int, drop) -> tuple[int
     return len(lines), len(lines) - len(kept), "\n".join(kept)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, filter_bits: int = 1 << 27, broadcast_keys: int = 1 << 20, salts: int = 16) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, filter_bits: int | None = None, broadcast_keys: int = 1 << 20, salts: int = 16) -> DataFrame:
     """All columns of docs with the text deduplicated, and n_lines and n_dropped (long). A null text stays null: its
     one empty line is kept."""
     found, confirmed = repeated_lines(docs, id_col, text_col, min_chars, min_docs, filter_bits)
@@ -180,7 +191,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             holder = dict(zip((k.tobytes() for k in keys.astype(">i8")), holders.tolist(), strict=True))
 
             def drop(key: bytes, doc: int | None) -> bool:
-                return holder.get(xxhash.xxh3_128_digest(key), doc) != doc
+                return doc is not None and holder.get(xxhash.xxh3_128_digest(key), doc) != doc
 
             for batch in slices(batches, text_col):
                 yield rewrite(batch, [drop] * batch.num_rows)
@@ -190,13 +201,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # A key in a third of all documents is spread over `salts` tasks; its documents meet only in rows of their own.
     spread = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     gone = found.distinct().withColumn("salt", F.pmod("doc", F.lit(salts)).cast("int")).join(spread, ["k1", "k2", "salt"]).filter("doc <> holder")
-    lists = gone.groupBy(F.col("doc").alias("_drop_doc")).agg(F.collect_list(F.struct("k1", "k2")).alias("_drop_keys"))
-    joined = base.join(lists, base[id_col] == lists["_drop_doc"], "left").drop("_drop_doc")
+    drop_doc, drop_keys = spare(base, "drop_doc"), spare(base, "drop_keys")
+    lists = gone.groupBy(F.col("doc").alias(drop_doc)).agg(F.collect_list(F.struct("k1", "k2")).alias(drop_keys))
+    joined = base.join(lists, base[id_col].cast("long") == lists[drop_doc], "left").drop(drop_doc)
 
     def by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             drops = []
-            for own in batch.column("_drop_keys").to_pylist():
+            for own in batch.column(drop_keys).to_pylist():
                 mine = {np.array([k["k1"], k["k2"]], dtype=">i8").tobytes() for k in own or ()}
                 drops.append(lambda key, _, mine=mine: bool(mine) and xxhash.xxh3_128_digest(key) in mine)
             yield rewrite(batch, drops)
