@@ -15,7 +15,8 @@ Sources are few (`max_sources`, checked); their statistics are on the driver, do
 
 Defined cases: a null source is the source ''; null texts have no tokens and take part like empty ones (they go with
 the first block they are dealt to); sources without tokens get weight 0 and are read once; an empty table gives an
-empty result; repeated rows are read as often as they appear.
+empty result; repeated rows, rows of one id in several sources and rows without an id are each a document of their own, in
+their own source's plan; a very long text is one document. mix() replaces columns named epoch, block_order and doc_order.
 """
 
 from __future__ import annotations
@@ -77,7 +78,12 @@ def _hash(*parts: Column) -> Column:
 def plan_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target_entropy: float | None = None, max_epochs: float | None = 4.0, budget: int | None = None, seed: int = 17, max_sources: int = 100_000) -> DataFrame:
     """id, source, n_tokens, epoch (from 0), block_order, doc_order (the place in the epoch is their order) and weight,
     a row for each time a document is read."""
-    sized = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("source"), F.size(split_words(docs[text_col])).cast("long").alias("n_tokens"))
+    return _planned(docs, id_col, text_col, source_col, target_entropy, max_epochs, budget, seed, max_sources, [])
+
+
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, target_entropy: float | None, max_epochs: float | None, budget: int | None, seed: int, max_sources: int, carried: list[Column]) -> DataFrame:
+    """The plan, with further columns of docs carried along, so that nothing needs to be joined back to its document."""
+    sized = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("source"), F.size(split_words(docs[text_col])).cast("long").alias("n_tokens"), *carried)
     stats = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).limit(max_sources + 1).collect()
     if len(stats) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -104,16 +110,16 @@ def plan_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = ["block_order", "block"]
     sums = partial.groupBy("source", "rest", *order).agg(F.sum("n_tokens").alias("block_tokens"))
     before = sums.withColumn("before", F.sum("block_tokens").over(Window.partitionBy("source").orderBy(*order)) - F.col("block_tokens")).filter("before < rest").select("source", "block", "before")
-    inside = Window.partitionBy("source", "block").orderBy("doc_order", "id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "block").orderBy("doc_order", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     taken = partial.join(before, ["source", "block"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside)).filter("upto <= rest")
-    columns = ["id", "source", "n_tokens", "epoch", "block_order", "doc_order", "weight"]
+    columns = ["id", "source", "n_tokens", "epoch", "block_order", "doc_order", "weight", *sized.columns[3:]]
     return full.select(*columns).unionByName(taken.select(*columns))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The columns of docs once for each time a document is read, with epoch, block_order and doc_order."""
-    plan = plan_mixture(docs, id_col, **kw).select(F.col("id").alias("_mix_id"), "epoch", "block_order", "doc_order")
-    names = [c for c in docs.columns if c not in ("epoch", "block_order", "doc_order")]
-    # A repeated row would meet its twin's plan: rows of an id share one plan, read as often as the id has rows.
-    plan = plan.groupBy("_mix_id", "epoch", "block_order", "doc_order").agg(F.count("*").alias("_"))
-    return docs.join(plan, docs[id_col].cast("long").eqNullSafe(plan["_mix_id"])).select(*[docs[c] for c in names], *[plan[c] for c in ("epoch", "block_order", "doc_order")])
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", target_entropy: float | None = None, max_epochs: float | None = 4.0, budget: int | None = None, seed: int = 17, max_sources: int = 100_000) -> DataFrame:
+    """The columns of docs once for each time a document is read, with epoch, block_order and doc_order. A row is read by its
+    own plan, whatever id it has, so the budget holds for repeated ids and rows without one too."""
+    names = [c for c in docs.columns if c.lower() not in ("epoch", "block_order", "doc_order")]
+    whole = F.struct(*[docs[c].alias(c) for c in names]).alias("_document")
+    plan = _planned(docs, id_col, text_col, source_col, target_entropy, max_epochs, budget, seed, max_sources, [whole])
+    return plan.select(*[F.col("_document").getField(c).alias(c) for c in names], "epoch", "block_order", "doc_order")
