@@ -14,10 +14,10 @@ distance from one start. So containment is joined as sets:
 
 Everything is DataFrame operations; rows that shuffle are the kept occurrences, not the texts.
 
-Defined cases: null and empty texts have no words; an item without words has no window; items with equal windows are
-all reported; rows that repeat an id count as one document, hit where any of them is and as long as the longest (rows without an id
-too, and they have no hits); an
-empty benchmark leaves all clean; an empty table gives an empty result.
+Defined cases: null and empty texts have no words; a very long text is one row like any other, matched to its end; an item
+without words has no window; items with equal windows are all reported; rows that repeat an id count as one document, hit
+where any of them is and as long as the longest (rows without an id too, and they have no hits); an empty benchmark leaves
+all clean; an empty table gives an empty result; only id and text enter the work, so further columns never clash.
 """
 
 from __future__ import annotations
@@ -45,12 +45,12 @@ def shingle_hashes(words: Column, width: int) -> Column:
 
 
 def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = 13, width: int = 5) -> DataFrame:
-    """item, win (an id of the window's content), length, w (its shingle width), off, h: a row for each shingle of each window."""
+    """item, win (a 64-bit id of the window's content), length, w (its shingle width), off, h: a row for each shingle of each window."""
     items = benchmark.select(benchmark[id_col].cast("string").alias("item"), words_of(benchmark[text_col]).alias("ws")).filter(F.size("ws") > 0)
     length = F.least(F.size("ws"), F.lit(window))
     starts = F.sequence(F.lit(0), F.size("ws") - length)
     each = items.select("item", length.alias("length"), F.explode(F.transform(starts, lambda s: F.slice(F.col("ws"), s + 1, length))).alias("words"))
-    each = each.select("item", "length", F.sha2(F.array_join("words", " "), 256).alias("win"), F.least(F.col("length"), F.lit(width)).alias("w"), "words").distinct()
+    each = each.select("item", "length", F.xxhash64(F.array_join("words", " ")).alias("win"), F.least(F.col("length"), F.lit(width)).alias("w"), "words").distinct()
     hashes = F.lit(None).cast("array<bigint>")
     for n in range(1, width + 1):
         hashes = F.when(F.col("w") == n, shingle_hashes(F.col("words"), n)).otherwise(hashes)
@@ -62,7 +62,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for each document id."""
     wins = materialize(windows(benchmark, item_col, item_text_col, window, width), "windows")
     tokens = materialize(wins.select("h").distinct(), "shingles")
-    few = tokens.count() <= broadcast_shingles
+    shapes = materialize(wins.groupBy("win", "length", "off", "h").agg(F.lit(1).alias("_")).drop("_"), "shapes")
+    # Each side that is broadcast is counted itself: a window has a row for every one of its shingles.
+    few, few_shapes = tokens.count() <= broadcast_shingles, shapes.count() <= broadcast_shingles
     widths = sorted(r["w"] for r in wins.select("w").distinct().collect())  # at most `width` of them
 
     parsed = docs.select(docs[id_col].cast("long").alias("doc"), words_of(docs[text_col]).alias("ws"))
@@ -82,14 +84,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = kept.filter("w > 0").select("doc", "pos", "h").distinct()
 
     rarity = found.groupBy("h").agg(F.count("*").alias("n"))
-    shapes = wins.groupBy("win", "length", "off", "h").agg(F.lit(1).alias("_"))
     prefix = shapes.join(rarity, "h").groupBy("win", "length").agg(F.min(F.struct("n", "h", "off")).alias("rare"), F.count("*").alias("n_shingles"))
     # A window with a shingle that no document has occurs nowhere.
     full = wins.groupBy("win").agg(F.count_distinct("off").alias("n_all"))
     prefix = prefix.join(full, "win").filter("n_shingles = n_all").select("win", "length", "n_all", F.col("rare.h").alias("h"), F.col("rare.off").alias("rare_off"))
 
-    # Both hold a row for each shingle of the benchmark at most, so its size has been checked.
-    small = F.broadcast if few else lambda frame: frame
+    # A window has one row in prefix and several in shapes, whose rows have been counted.
+    small = F.broadcast if few_shapes else lambda frame: frame
     starts = found.join(small(prefix), "h").select("doc", "win", "length", "n_all", (F.col("pos") - F.col("rare_off")).alias("start"))
     bounded = starts.join(sizes, "doc").filter("start >= 0 AND start + length <= n_words").select("doc", "win", "length", "n_all", "start").distinct()
     wanted = bounded.join(small(shapes.select("win", "off", "h")), "win").select("doc", "win", "length", "n_all", "start", "h", (F.col("start") + F.col("off")).alias("pos"))
