@@ -5,8 +5,9 @@ Training sums n-gram bucket counts for each language over all labelled rows: eac
 `max_languages`. The smoothed log-probability matrix is broadcast and batches are scored in numpy.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; if nothing can be learned every text is
-`und`; ties between languages go to the first in sort order; repeated rows give repeated rows; an empty table gives an
-empty result. More than `max_languages` languages raise an error, because the matrix is broadcast.
+`und`; ties between languages go to the first in sort order; a very long text counts whole; a row without an id is predicted,
+and no fold holds it out or trains on it; repeated rows give repeated rows; an empty table gives an empty result; only id,
+text and label enter the work, so further columns never clash. More than `max_languages` languages raise an error, because the matrix is broadcast.
 """
 
 from __future__ import annotations
@@ -77,19 +78,21 @@ def predict(docs: DataFrame, names: list[str], logp: np.ndarray, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, matrix = model.value
-        for batch in slices(batches, text_col):
-            best, scores = [], []
-            for text in batch.column(text_col).to_pylist():
-                if not langs or text is None or not (text[:64].isalpha() or any(map(str.isalpha, text))):
-                    best.append("und")
-                    scores.append(0.0)
-                    continue
-                got = grams(text, matrix.shape[1])
-                total = np.array([row[got].sum(dtype=np.float64) for row in matrix])
-                pick = int(total.argmax())
-                share = np.exp((total - total[pick]) / np.sqrt(len(got)))
-                best.append(langs[pick])
-                scores.append(float(1.0 / share.sum()))
+        # A batch is a sparse matrix of rows of bucket numbers: one gather and one sum by rows for each language.
+        for batch in slices(batches, text_col, 1 << 20):
+            texts = batch.column(text_col).to_pylist()
+            told = [i for i, t in enumerate(texts) if langs and t is not None and (t[:64].isalpha() or any(map(str.isalpha, t)))]
+            best, scores = ["und"] * len(texts), np.zeros(len(texts))
+            if told:
+                rows = [grams(texts[i], matrix.shape[1]) for i in told]
+                sizes = np.array([len(r) for r in rows])
+                flat, starts = np.concatenate(rows), np.r_[0, np.cumsum(sizes)[:-1]]
+                total = np.stack([np.add.reduceat(row[flat].astype(np.float64), starts) for row in matrix], axis=1)
+                pick = total.argmax(axis=1)
+                share = np.exp((total - total[np.arange(len(told)), pick][:, None]) / np.sqrt(sizes)[:, None])
+                scores[told] = 1.0 / share.sum(axis=1)
+                for i, k in zip(told, pick.tolist(), strict=True):
+                    best[i] = langs[k]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(best, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col]).mapInArrow(run, "doc_id long, lang_pred string, score double")
