@@ -7,15 +7,16 @@ the members alone. Files go to a shared folder under a name of their own and app
 task that is run again after a loss leaves no half-written archive, and the manifest names the files that count.
 
 Defined cases: a null payload is empty; equal payloads make one response (the largest id) and revisits to it; rows
-that repeat an id are repeated records; a page without an id is a response with its payload; an empty table writes no archive; long payloads pass through in blocks.
+that repeat an id are repeated records; a page without an id is a response with its payload; an empty table writes no archive; long
+payloads pass through in blocks; columns other than page_id, url and html are left aside.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import json
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -113,25 +114,45 @@ def _open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
 
 
+def monolith(rows: Iterator[tuple]) -> Iterator[bytes]:
+    """One gzip stream over the records of (page_id, url, html, refers_to) rows, in pieces as it is compressed."""
+    engine = zlib.compressobj(1, zlib.DEFLATED, 31)
+    for page, url, html, refers in rows:
+        if piece := engine.compress(record("response" if refers is None else "revisit", page, url, (html or "").encode(), refers)):
+            yield piece
+    yield engine.flush()
+
+
+class Stream:
+    """Pieces of bytes read like a file, so that a task's stream is never held whole, in memory or in a local file."""
+
+    def __init__(self, pieces: Iterator[bytes]) -> None:
+        self.pieces, self.held = pieces, b""
+
+    def read(self, n: int) -> bytes:
+        parts, have = [self.held], len(self.held)
+        while have < n and (piece := next(self.pieces, None)) is not None:
+            parts.append(piece)
+            have += len(piece)
+        whole = b"".join(parts)
+        self.held = whole[n:]
+        return whole[:n]
+
+
 def write_archives(pages: DataFrame, folder: str, level: int = 3) -> DataFrame:
     """Write page_id, url, html, refers_to (null: a response) as archives under folder; the manifest: archive, index, n_records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with tempfile.TemporaryFile() as whole:
-            engine, n = zlib.compressobj(1, zlib.DEFLATED, 31), 0
-            for batch in slices(batches, "html"):
-                for page, url, html, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                    whole.write(engine.compress(record("response" if refers is None else "revisit", page, url, (html or "").encode(), refers)))
-                    n += 1
-            if not n:
-                return
-            whole.write(engine.flush())
-            whole.seek(0)
-            store, base = _open_fs(folder)
-            store.create_dir(base, recursive=True)
-            name = f"{base}/{uuid.uuid4().hex}"
-            with store.open_output_stream(f"{name}.part") as archive, store.open_output_stream(f"{name}.idx.part") as index:
-                n = normalise(whole, archive, index, level)
+        rows = ((p, u, h, r) for b in slices(batches, "html") for p, u, h, r in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True))
+        first = next(rows, None)
+        if first is None:
+            return
+        store, base = _open_fs(folder)
+        store.create_dir(base, recursive=True)
+        name = f"{base}/{uuid.uuid4().hex}"
+        whole = Stream(monolith(itertools.chain([first], rows)))
+        with store.open_output_stream(f"{name}.part") as archive, store.open_output_stream(f"{name}.idx.part") as index:
+            n = normalise(whole, archive, index, level)
         for end in ("", ".idx"):
             store.move(f"{name}{end}.part", f"{name}.warc.gz{end}")
         root = f"{folder}/{name.rsplit('/', 1)[1]}.warc.gz"
