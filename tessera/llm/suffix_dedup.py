@@ -21,7 +21,8 @@ anchors are compared by 64-bit hashes of at least ANCHOR bytes each, together 12
 
 Defined cases: null is empty; texts under `length` bytes never lose a byte; copies inside one row count; rows that
 repeat an id with its text count as one row and lose the same spans; a row without an id stays whole and takes no
-part; an empty table gives an empty result.
+part; a long text is cut into segments like any other (places are 32-bit: texts have less than 2 GB, as Arrow's strings
+have); only id and text enter the work, so further columns never clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ ANCHOR = 40
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SEGMENT = np.dtype([("anchor", "<u8"), ("hash", "<u8"), ("id", "<i8"), ("start", "<i4"), ("size", "<i2")])
 FEW = 1 << 20
+PART_BYTES = 32 << 20
 SPAN = np.dtype([("start", "<i8"), ("size", "<i8")])
 WANTED = np.dtype([("anchor", "<u8"), ("start", "<i8"), ("size", "<i8")])
 
@@ -212,7 +214,13 @@ class SuffixDedup:
             raise ValueError(f"length is at least {ANCHOR + 8}")
         self.docs = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].cast("string").alias("text"))
         self.length = length
-        self.parts = parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.parts = parts or self._parts(docs.sparkSession)
+
+    def _parts(self, spark) -> int:
+        """Parts of about PART_BYTES of text, so that a task's part does not grow with the corpus; four times Spark's shuffle
+        partitions at least."""
+        size = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // PART_BYTES))
 
     def hashed(self) -> DataFrame:
         """part, doc, kind, blob: kind 2 has packed SEGMENT rows of the part's anchors, one for each distinct segment
