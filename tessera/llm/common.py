@@ -25,11 +25,13 @@ _ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one, removed at exit, only where none is set."""
+    """The folder named by spark.checkpoint.dir; a temporary one, removed at exit, only where none is set and Spark is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = getattr(spark.sparkContext, "_tessera_shared", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster names its shared folder in spark.checkpoint.dir")
         found = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext._tessera_shared = found
@@ -44,10 +46,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, evaluates once, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    for paths in _scopes[-1:]:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """The tables that are written inside are deleted at the end, but for those taken off the list."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -73,10 +96,20 @@ def split_words(text: Column, gaps: str = BLANKS) -> Column:
 
 
 def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", most: int = 1 << 20) -> DataFrame:
-    """docs but for the ids of `gone` (one column of that name), broadcast while there are at most `most` of them."""
-    gone = materialize(gone.select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    """docs but for the ids of `gone` (one column of that name), broadcast while there are at most `most` of them. Rows that
+    share an id are one document and go together; a row without an id matches none and stays."""
+    name = spare(docs, "gone")
+    gone = materialize(gone.select(F.col(id_col).alias(name)).filter(F.col(name).isNotNull()).distinct(), "gone")
     side = F.broadcast(gone) if gone.count() <= most else gone
-    return docs.join(side, docs[id_col].cast("long") == side["_gone"], "left_anti")
+    return docs.join(side, docs[id_col].cast("long") == side[name], "left_anti")
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df does not have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -96,15 +129,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: str | None = None, most_byte
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs inside hand Python at most so many rows a batch; what Spark's setting was before holds again after them."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def arrow_rows(spark: SparkSession, rows: int, most_bytes: int = 16 << 20) -> Iterator[None]:
+    """Jobs inside hand Python at most so many rows and about so many bytes a batch; what Spark's settings were before holds
+    again after them."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": most_bytes}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, str(v))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for n, v in before.items():
+            spark.conf.set(n, v)
 
 
 def tree_merge(df: DataFrame, zero: Callable[[], object], add: Callable[[object, bytes], object], dump: Callable[[object], bytes], fan: int = 64) -> DataFrame:

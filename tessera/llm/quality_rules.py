@@ -14,7 +14,8 @@ are joined by broadcast while there are at most `broadcast_strata` of them, else
 
 Defined cases: a null or empty text has zero words and fails the base rule; a null stratum is the stratum ''; labels
 that are null or name no row count for nothing; a row that repeats an id counts as often as it appears; without labels
-nothing but the base rule rejects; an empty table gives an empty result.
+nothing but the base rule rejects; a very long text is counted whole; a row without an id is judged and names no label;
+an empty table gives an empty result; only id, text and stratum enter the work, so further columns never clash.
 """
 
 from __future__ import annotations

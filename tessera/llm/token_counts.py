@@ -5,8 +5,9 @@ not met lately are laid out as one ragged array of symbol ids, and each round me
 occurrences of that sequence's lowest-rank pair. The surviving symbols of a sequence are its tokens.
 
 Defined cases: null text has 0 bytes and 0 tokens; empty text too; special strings inside a text count one token
-each, as the library does by default; repeated rows give repeated rows; an empty table gives an empty result; further
-columns of the input are kept out of the result. Memory: one slice of texts and a cache of `cache_size` pre-tokens.
+each, as the library does by default; a very long text, or one word of any length, is counted whole; repeated rows give
+repeated rows; a row without an id is counted; an empty table gives an empty result; further columns of the input, whatever
+their names, are kept out of the result. Memory: one slice of texts and a cache of `cache_size` pre-tokens.
 """
 
 from __future__ import annotations

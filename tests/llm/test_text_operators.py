@@ -119,6 +119,8 @@ def test_token_counts(spark):
     df = spark.createDataFrame([*enumerate(texts), (9999, None), (9999, None)], "doc_id long, text string").withColumn("n_tokens", F.lit(-1))
     got = token_counts(df, path, limit=100).collect()
     assert [(r["n_tokens"], r["n_bytes"], r["over_limit"]) for r in sorted(got, key=lambda r: r["doc_id"])] == [(n, len(t.encode()), n > 100) for n, t in zip(want, texts, strict=True)] + [(0, 0, False)] * 2
+    long = [("ab" * 50_000), "x y " * 60_000]
+    assert WordBpe.from_file(path).count_batch(long) == [len(e.ids) for e in library.encode_batch(long, add_special_tokens=False)]
     assert WordBpe.from_file(path, cache_size=3).count_batch(texts) == want
     assert token_counts(df.limit(0), path).collect() == []
 
@@ -156,6 +158,27 @@ def test_line_dedup(spark, keys):
     assert dedup_lines(df.limit(0), broadcast_keys=keys).collect() == []
 
 
+@pytest.mark.parametrize("keys", [1 << 20, -1])
+def test_line_dedup_of_rows_without_an_id_and_clashing_names(spark, keys):
+    line = "a line of more than twenty letters"
+    rows = [(1, line), (2, line), (3, line), (None, line), (None, line)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    for c in ("drop_doc", "_drop_keys", "drop_keys", "salt", "holder"):
+        df = df.withColumn(c, F.lit(c))
+    got = dedup_lines(df, broadcast_keys=keys)
+    assert got.columns == [*df.columns, "n_lines", "n_dropped"]
+    assert sorted(((r["doc_id"] or 0, r["n_dropped"], r["drop_doc"]) for r in got.collect())) == [(0, 0, "drop_doc"), (0, 0, "drop_doc"), (1, 1, "drop_doc"), (2, 1, "drop_doc"), (3, 0, "drop_doc")]
+    two = spark.createDataFrame([(1, line), (2, line), (None, line)], "doc_id long, text string")
+    assert [r["n_dropped"] for r in dedup_lines(two, broadcast_keys=keys).collect()] == [0, 0, 0]
+
+
+def test_line_dedup_sizes_its_filters(spark):
+    from tessera.llm import line_dedup
+
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x\n"), 1200).alias("text"))
+    assert line_dedup.bits_for(df, "text") == 1 << 25 and line_dedup.bits_for(df.limit(0), "text") == 1 << line_dedup.SEGMENT_BITS
+
+
 # Operator 6
 
 
@@ -216,6 +239,29 @@ def test_language_accuracy(spark):
         language_id.train(df, max_languages=2)
 
 
+def test_language_against_plain_naive_bayes(spark):
+    rnd = random.Random(12)
+    texts = ["".join(rnd.choice("abé ñz1") for _ in range(rnd.choice((1, 2, 5, 40, 300)))) for _ in range(120)]
+    rows = [(i, t, rnd.choice(("x", "y", "zz"))) for i, t in enumerate(texts)] + [(500, "a" * 30_000, None), (501, "é", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    buckets, smoothing = 1 << 10, 0.5
+    names, logp = language_id.train(df, buckets=buckets, smoothing=smoothing)
+    counts = {lang: Counter() for lang in names}
+    for _, t, lang in rows:
+        if lang:
+            counts[lang].update(language_id.grams(t, buckets).tolist())
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(df, names, logp).collect()}
+    for i, t, _ in rows:
+        if not any(c.isalpha() for c in t):
+            assert got[i] == ("und", 0.0)
+            continue
+        own = language_id.grams(t, buckets).tolist()
+        sums = {lang: math.fsum(math.log((c[g] + smoothing) / (sum(c.values()) + smoothing * buckets)) for g in own) for lang, c in counts.items()}
+        best = max(names, key=lambda n: sums[n])
+        share = math.fsum(math.exp((v - sums[best]) / math.sqrt(len(own))) for v in sums.values())
+        assert got[i][1] == pytest.approx(1 / share, abs=1e-4) and (got[i][0] == best or share > 1.99)
+
+
 # Operator 10
 
 
@@ -251,4 +297,14 @@ def test_mixture(spark):
     assert sorted(map(str, mixing.plan_mixture(df.repartition(9)).collect())) == sorted(map(str, plan))
     mixed = mixing.mix(df)
     assert mixed.columns == ["doc_id", "text", "source", "epoch", "block_order", "doc_order"] and mixed.count() == len(plan)
-    assert mixing.plan_mixture(df.limit(0)).collect() == []
+    assert mixing.plan_mixture(df.limit(0)).collect() == [] and mixing.mix(df.limit(0)).collect() == []
+
+
+def test_mixture_of_rows_that_share_an_id(spark):
+    rows = [(i % 40, "w " * (i % 7), f"s{i % 2}") for i in range(120)] + [(None, "w w w", "s0")] * 9 + [(None, "w", "s1")] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_document", F.lit(1)).repartition(3)
+    for budget in (None, 150):
+        plan, mixed = (f(df, budget=budget) for f in (mixing.plan_mixture, mixing.mix))
+        tokens = lambda d: sum(len(words(r["text"])) for r in d.collect())
+        assert mixed.count() == plan.count() and tokens(mixed) == plan.agg(F.sum("n_tokens")).first()[0]
+        assert budget is None or tokens(mixed) <= budget
