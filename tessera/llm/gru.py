@@ -15,16 +15,19 @@ CLASS = 32
 NAMES = ("inputs", "recur", "class_w", "class_b", "word_w", "word_b")
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
-
-
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probabilities, log of the normaliser) by row."""
-    top = x.max(axis=1, keepdims=True)
-    e = np.exp(x - top)
-    whole = e.sum(axis=1, keepdims=True)
-    return e / whole, (np.log(whole) + top)[:, 0]
+def _residual(logits: np.ndarray, bias: np.ndarray, target: np.ndarray, n: int) -> tuple[float, np.ndarray]:
+    """(summed loss, the loss's gradient over n tokens by logit); logits without their bias are overwritten."""
+    rows = np.arange(len(target))
+    logits += bias
+    logits -= logits.max(axis=1, keepdims=True)
+    hit = float(logits[rows, target].sum(dtype=np.float64))
+    np.exp(logits, out=logits)
+    whole = logits.sum(axis=1, keepdims=True)
+    loss = float(np.log(whole).sum(dtype=np.float64)) - hit
+    whole *= np.float32(n)
+    logits /= whole
+    logits[rows, target] -= np.float32(1 / n)
+    return loss, logits
 
 
 def _norm(x: np.ndarray) -> np.ndarray:
@@ -68,10 +71,19 @@ class GatedLm:
     def step(self, word: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """(next state, update gate, reset gate, candidate, recurrent part of the candidate)."""
         x, u, n = self.inputs[word], h @ self.recur, self.hidden
-        gates = _sigmoid(x[:, : 2 * n] + u[:, : 2 * n])
+        gates = x[:, : 2 * n] + u[:, : 2 * n]
+        gates *= np.float32(0.5)
+        np.tanh(gates, out=gates)
+        gates *= np.float32(0.5)
+        gates += np.float32(0.5)
         z, r, un = gates[:, :n], gates[:, n:], u[:, 2 * n :]
-        c = np.tanh(x[:, 2 * n :] + r * un)
-        return c + z * (h - c), z, r, c, un
+        c = r * un
+        c += x[:, 2 * n :]
+        np.tanh(c, out=c)
+        after = h - c
+        after *= z
+        after += c
+        return after, z, r, c, un
 
     def by_class(self, target: np.ndarray) -> list[tuple[int, np.ndarray]]:
         group = target // self.size
@@ -81,10 +93,12 @@ class GatedLm:
 
     def log_probs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log-probability of each target after its state."""
-        logits = h @ self.class_w + self.class_b
+        logits = h @ self.class_w
+        logits += self.class_b
         out = logits[np.arange(len(target)), target // self.size] - _norm(logits)
         for c, rows in self.by_class(target):
-            logits = h[rows] @ self.word_w[c] + self.word_b[c]
+            logits = h[rows] @ self.word_w[c]
+            logits += self.word_b[c]
             out[rows] += logits[np.arange(len(rows)), target[rows] % self.size] - _norm(logits)
         return out
 
@@ -98,19 +112,14 @@ class GatedLm:
             kept.append((before, *parts))
             states.append(h)
         flat, target, n = np.concatenate(states), targets.ravel(), steps * streams
-        p, norm = _softmax(logits := flat @ self.class_w + self.class_b)
-        loss = float((norm - logits[np.arange(n), target // self.size]).sum())
-        p[np.arange(n), target // self.size] -= 1
-        p /= n
+        loss, p = _residual(flat @ self.class_w, self.class_b, target // self.size, n)
         g_class_w, g_class_b, g_flat = flat.T @ p, p.sum(axis=0), p @ self.class_w.T
         g_word_w, g_word_b = np.zeros_like(self.word_w), np.zeros_like(self.word_b)
         for c, rows in self.by_class(target):
-            q, norm = _softmax(logits := flat[rows] @ self.word_w[c] + self.word_b[c])
-            at = (np.arange(len(rows)), target[rows] % self.size)
-            loss += float((norm - logits[at]).sum())
-            q[at] -= 1
-            q /= n
-            g_word_w[c], g_word_b[c] = flat[rows].T @ q, q.sum(axis=0)
+            own = flat[rows]
+            part, q = _residual(own @ self.word_w[c], self.word_b[c], target[rows] % self.size, n)
+            loss += part
+            g_word_w[c], g_word_b[c] = own.T @ q, q.sum(axis=0)
             g_flat[rows] += q @ self.word_w[c].T
         g_states, m = g_flat.reshape(steps, streams, -1), self.hidden
         g_gates = np.empty((steps, streams, 3 * m), dtype=np.float32)
@@ -127,13 +136,14 @@ class GatedLm:
             g_recur += before.T @ g_u
             back = (g * z + g_u @ self.recur.T) * ~fresh[t][:, None]
         g_inputs = np.zeros_like(self.inputs)
-        order = np.argsort(words.ravel(), kind="stable")
-        ranked = words.ravel()[order]
+        short = words.ravel().astype(np.uint16) if len(self.inputs) <= 1 << 16 else words.ravel()  # 16 bits sort by counting
+        order = np.argsort(short, kind="stable")
+        ranked = short[order]
         heads = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
         g_inputs[ranked[heads]] = np.add.reduceat(g_gates.reshape(n, -1)[order], heads, axis=0)
         return loss / n, [g_inputs, g_recur, g_class_w, g_class_b, g_word_w, g_word_b], h
 
-    def fit(self, texts: list[np.ndarray], streams: int = 64, steps: int = 32, rate: float = 4e-3, end: int = 0) -> int:
+    def fit(self, texts: list[np.ndarray], streams: int = 256, steps: int = 32, rate: float = 1.2e-2, end: int = 0) -> int:
         """One pass over whole texts (word ranks) with Adam; tokens trained on. Texts are laid end to end and cut into
         parallel streams; the state is carried from window to window and starts anew at each text."""
         if not texts:
@@ -157,17 +167,31 @@ class GatedLm:
             grads = [g[part] for g, part in zip(grads, parts, strict=True)]
             norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads))
             scale, warm = min(1.0, 1.0 / max(norm, 1e-6)), min(1.0, k / 20)
+            lift, drop = np.float32(1 / (1 - 0.9**k)), np.float32(1 / (1 - 0.99**k))
             for a, part, g, m, v in zip(self.arrays(), parts, grads, first, second, strict=True):
-                g = g * np.float32(scale)
-                m[part] = m_part = m[part] + np.float32(0.1) * (g - m[part])
-                v[part] = v_part = v[part] + np.float32(0.01) * (g * g - v[part])
-                a[part] -= np.float32(rate * warm) * (m_part / np.float32(1 - 0.9**k)) / (np.sqrt(v_part / np.float32(1 - 0.99**k)) + np.float32(1e-6))
+                g *= np.float32(scale)
+                m_part, v_part = m[part], v[part]
+                m_part += np.float32(0.1) * (g - m_part)
+                g *= g
+                v_part += np.float32(0.01) * (g - v_part)
+                m[part], v[part] = m_part, v_part
+                root = np.sqrt(v_part * drop)
+                root += np.float32(1e-6)
+                a[part] -= np.float32(rate * warm) * lift * m_part / root
         return words.size
 
-    def score(self, texts: list[np.ndarray], width: int = 256, window: int = 64, end: int = 0) -> np.ndarray:
-        """Natural log-probability of each whole text and its end. Texts of like length run side by side; a text's
-        state is carried from window to window until its end."""
-        out = np.zeros(len(texts))
+    def score(self, texts: list[np.ndarray], width: int = 256, window: int = 64, end: int = 0, block_tokens: int = 1 << 16) -> np.ndarray:
+        """Natural log-probability of each whole text and its end. Texts of like length run side by side; a text's state is
+        carried from window to window until its end. States wait until about block_tokens of them are scored at once."""
+        out, waiting, held = np.zeros(len(texts)), [], 0
+
+        def flush() -> None:
+            nonlocal waiting, held
+            if waiting:
+                which, state, target = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                out[:] += np.bincount(which, weights=self.log_probs(state, target), minlength=len(out))
+            waiting, held = [], 0
+
         order = np.argsort([-len(t) for t in texts], kind="stable")
         for at in range(0, len(order), width):
             group = order[at : at + width]
@@ -180,14 +204,14 @@ class GatedLm:
                 for row, i in enumerate(group[:live]):
                     part = texts[i][max(0, begin - 1) : begin + span]
                     block[row, (begin == 0) : (begin == 0) + len(part)] = part
-                h, states, rows = h[:live], [], []
-                for t in range(span):
-                    n = int(np.searchsorted(-sizes, -(begin + t), side="left"))
+                h = h[:live]
+                counts = np.searchsorted(-sizes, -(begin + np.arange(span)), side="left")
+                for t, n in enumerate(counts.tolist()):
                     h = h.copy() if n < len(h) else h
                     h[:n] = moved = self.step(block[:n, t], h[:n])[0]
-                    states.append(moved)
-                    rows.append(np.arange(n))
-                which, state = np.concatenate(rows), np.concatenate(states)
-                target = np.concatenate([block[: len(r), t + 1] for t, r in enumerate(rows)])
-                out[group] += np.bincount(which, weights=self.log_probs(state, target), minlength=len(group))
+                    waiting.append((group[:n], moved, block[:n, t + 1]))
+                    held += n
+                if held >= block_tokens:
+                    flush()
+        flush()
         return out
