@@ -1,9 +1,10 @@
 """Operator 8, language-model scoring: a gated recurrent model beside an add-0.1 unigram, both learned from the corpus.
 
 1. Token counts of all training texts are summed by Spark: c of every token, N of all, V of distinct ones.
-2. The most frequent tokens, at most `dictionary` of them (those with at least the count that this bound allows), go to
-   every worker as a dictionary with their counts. Tokens outside it are handed on as rows and joined to the counts,
-   so every token of every text is scored with its exact count, however large the vocabulary grows.
+2. The most frequent tokens of at most TOKEN_BYTES bytes, at most `dictionary` of them (those with at least the count that
+   this bound allows), go to every worker as a dictionary with their counts, so its size is bounded. Tokens outside it are
+   handed on as rows and joined to the counts, so every token of every text is scored with its exact count, however large
+   the vocabulary grows and however long its tokens are.
 3. The recurrent model (tessera.llm.gru) knows the `vocabulary` most frequent tokens, the end and "other". It is trained
    in `rounds` rounds: in each, every task passes once over its part of the round's training texts and the tasks'
    parameters are averaged by tokens. Each round has another set of texts; together they are `share` of all (1: every
@@ -12,7 +13,9 @@
    the token's share among other tokens by corpus counts (c + 0.1) / (N_other + 0.1 (V_other + 1)).
 
 Defined cases: null and empty texts are their end alone; without training texts all counts are 0 and the base score of
-a token is 0; repeated rows are scored each and learned from each; an empty table gives an empty result.
+a token is 0; repeated rows are scored each and learned from each; a row without an id has a null held_out, is scored and
+never learned from; a very long text is scored whole, its state carried from window to window; an empty table gives an empty
+result; only id, text and the fold enter the work, so further columns never clash.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from tessera.llm.gru import GatedLm
 
 END, OTHER, RESERVED = 0, 1, 2
 SLICE = 1 << 17  # parameters averaged in one row
+TOKEN_BYTES = 256
 
 
 class Dictionary(dict):
@@ -57,12 +61,13 @@ class LmScoring:
         self.n, self.v = (int(x or 0) for x in self.counts.agg(F.sum("c"), F.count("*")).first())
         self.n_end = int((self.counts.filter("token = ''").agg(F.sum("c")).first())[0] or 0)
         # The least count whose tokens fit the dictionary; equal counts go in or stay out together.
-        levels, room, least = self.counts.filter("token <> ''").groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")), self.dictionary, None
+        short = self.counts.filter((F.col("token") != "") & (F.octet_length("token") <= TOKEN_BYTES))
+        levels, room, least = short.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")), self.dictionary, None
         for row in levels.limit(self.dictionary + 1).toLocalIterator():
             if (room := room - row["n"]) < 0:
                 break
             least = row["c"]
-        chosen = self.counts.filter("token <> ''").filter(F.col("c") >= F.lit(least if least is not None else 1 << 62))
+        chosen = short.filter(F.col("c") >= F.lit(least if least is not None else 1 << 62))
         table = chosen.select(F.col("token").cast("binary").alias("token"), "c").toArrow()
         c = table.column("c").to_numpy().astype(np.int64)
         tokens = table.column("token").to_pylist()

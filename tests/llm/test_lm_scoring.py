@@ -75,6 +75,34 @@ def test_counts_and_base_scores(spark, dictionary):
         assert r["score"] < 0 and math.isfinite(r["score"])
 
 
+@pytest.mark.parametrize("dictionary", [1 << 19, 45])
+def test_scores_end_to_end(spark, dictionary):
+    """score against one model trained here on the same texts and stepped token by token, with the share of OTHER tokens."""
+    rows = [*rows_of(60), (990, "n1 " + "long" * 200), (991, "long" * 200 + " v2"), (992, "zzz")]
+    vocabulary, hidden = 32, 8
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "doc_id long, text string")  # one task, so one model
+    got = {r["doc_id"]: r["score"] for r in score_texts(df, fold(F.col("doc_id"), 10) == 0, dictionary=dictionary, vocabulary=vocabulary, rounds=1, hidden=hidden).collect()}
+    lower = {i: [w.lower() for w in (t or "").split()] for i, t in rows}
+    taught = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(w for i in taught for w in lower[i])
+    n_end, n, v = len(taught), sum(counts.values()) + len(taught), len(counts) + 1
+    order = sorted((w for w in counts if len(w) <= 256), key=lambda w: (-counts[w], w.encode()))
+    kept = [w for w in order if sum(counts[x] >= counts[w] for x in order) <= dictionary][: vocabulary - 2]
+    rank = {w: k + 2 for k, w in enumerate(kept)}
+    n_other, v_other = n - n_end - sum(counts[w] for w in kept), v - 1 - len(kept)
+    model = GatedLm(np.r_[n_end, n_other, [counts[w] for w in kept]], hidden)
+    model.fit([np.array([rank.get(w, 1) for w in lower[i]], dtype=np.int64) for i in taught])
+    for i, ws in lower.items():
+        h, total = np.zeros((1, hidden), np.float32), 0.0
+        for a, b in zip([None, *ws], [*ws, None], strict=True):
+            code = lambda w: 0 if w is None else rank.get(w, 1)
+            h = model.step(np.array([code(a)]), h)[0]
+            total += model.log_probs(h, np.array([code(b)]))[0] / math.log(10)
+            if b is not None and b not in rank:
+                total += math.log10((counts[b] + 0.1) / (n_other + 0.1 * (v_other + 1)))
+        assert got[i] == pytest.approx(total, rel=1e-3, abs=2e-2), i
+
+
 def test_model_beats_the_unigram_on_held_out_texts(spark):
     df = spark.createDataFrame(rows_of(400), "doc_id long, text string").repartition(2)
     got = score_texts(df, fold(F.col("doc_id"), 10) == 0, vocabulary=128, share=1.0, rounds=2, hidden=16).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
