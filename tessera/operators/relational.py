@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 import json
 import math
-import os
 import statistics
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -24,6 +23,8 @@ def cut(df: DataFrame, keep: bool = True) -> DataFrame:
     if sc.getCheckpointDir() is None:
         import tempfile
 
+        if not sc.master.startswith("local"):
+            raise ValueError("a cluster names its shared folder in spark.checkpoint.dir")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return df.checkpoint(eager=keep)
 
@@ -121,13 +122,14 @@ def approx_aggregate(df: DataFrame, kind: str, column: str | None, key: str, con
 
 class IncrementalAggregate:
     """count, sum, min, max and avg of an append-only table: the state of the rows up to an epoch is kept, later calls
-    read the rows after it. A table that lost or changed rows since (its `generation` differs) is read anew."""
+    read the rows after it. A table that lost or changed rows since (its `generation` differs) is read anew.
 
-    def __init__(self, path: str | None = None) -> None:
-        self.path, self.states = path, {}
-        if path and os.path.exists(path):
-            with open(path, encoding="utf-8") as f:
-                self.states = json.load(f)
+    files: text files that outlive the driver (a store's), where the states are kept under `name`."""
+
+    def __init__(self, files=None, name: str = "_state/aggregates") -> None:
+        self.files, self.name, self.states = files, name, {}
+        if files is not None and (kept := sorted(files.names(name))):
+            self.states = json.loads(files.read(f"{name}/{kept[-1]}"))
 
     def call(self, rows_after: Callable[[int], DataFrame], epoch: int, generation: int, column: str | None = None, key: str = "") -> dict:
         """{count, sum, min, max, avg, incremental, delta_rows}. rows_after(e): the rows of epochs after e."""
@@ -144,10 +146,11 @@ class IncrementalAggregate:
                 state[name_] = f(a, b) if a is not None and b is not None else a if b is None else b
         state |= {"epoch": epoch, "generation": generation}
         self.states[name] = state
-        if self.path:
-            with open(self.path + ".tmp", "w", encoding="utf-8") as f:
-                json.dump(self.states, f)
-            os.replace(self.path + ".tmp", self.path)
+        if self.files is not None:
+            old = sorted(self.files.names(self.name))
+            self.files.create(f"{self.name}/{int(old[-1].split('.')[0]) + 1 if old else 1:012d}.json", json.dumps(self.states))
+            for gone in old:
+                self.files.delete(f"{self.name}/{gone}")
         avg = state["sum"] / state["count"] if state["count"] else None
         return {k: state[k] for k in ("count", "sum", "min", "max")} | {"avg": avg, "incremental": warm, "delta_rows": delta["rows"]}
 

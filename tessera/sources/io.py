@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 _OUT = (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"))
 
@@ -64,14 +65,32 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None,
     return reader.load()
 
 
+@dataclass
+class Message(WriterCommitMessage):
+    value: object
+
+
 class _Part(InputPartition):
     def __init__(self, number: int, of: int) -> None:
         self.number, self.of = number, of
 
 
-def register_module(spark: SparkSession, name: str, schema: str, scan: Callable[[dict, int, int], Iterator[tuple]], parts: int = 1, filters: Callable[[list], tuple[list, dict]] | None = None) -> None:
+def copy_snapshot(store, name: str, chunks: dict[str, Callable[[], DataFrame]]) -> list[str]:
+    """Copy another database's table chunk by chunk (a name, and what reads it); the chunks copied now. A chunk is one commit
+    under its name, so a copy that was cut off goes on with the chunks it lacks."""
+    done = []
+    for chunk, read in chunks.items():
+        key = f"snapshot:{name}:{chunk}"
+        if key not in store.work.get("batches", {}):
+            store.batch([{"op": "put", "table": name, "rows": read()}], key)
+            done.append(chunk)
+    return done
+
+
+def register_module(spark: SparkSession, name: str, schema: str, scan: Callable[[dict, int, int], Iterator[tuple]], parts: int = 1, filters: Callable[[list], tuple[list, dict]] | None = None, write: Callable[[dict, Iterator], object] | None = None, commit: Callable[[dict, list], None] | None = None) -> None:
     """A virtual table: spark.read.format(name).options(...).load() yields what scan(options, part, parts) yields.
-    filters takes the offered predicates and returns those it leaves to Spark, and options for its scan."""
+    filters takes the offered predicates and returns those it leaves to Spark, and options for its scan. write takes a task's
+    rows and returns a message; commit takes the messages of all tasks, once all have come."""
     module = name
 
     class Reader(DataSourceReader):
@@ -93,6 +112,17 @@ def register_module(spark: SparkSession, name: str, schema: str, scan: Callable[
 
         Reader.pushFilters = push
 
+    class Writer(DataSourceWriter):
+        def __init__(self, options: dict) -> None:
+            self.options = dict(options)
+
+        def write(self, rows: Iterator) -> Message:
+            return Message(write(self.options, rows))
+
+        def commit(self, messages: list) -> None:
+            if commit:
+                commit(self.options, [m.value for m in messages if m is not None])
+
     class Source(DataSource):
         @classmethod
         def name(cls) -> str:
@@ -104,6 +134,9 @@ def register_module(spark: SparkSession, name: str, schema: str, scan: Callable[
         def reader(self, schema) -> DataSourceReader:
             return Reader(self.options)
 
+    if write:
+        Source.writer = lambda self, schema, overwrite: Writer(self.options)
+
     spark.dataSource.register(Source)
 
 
@@ -122,3 +155,13 @@ def register_aggregate(spark: SparkSession, name: str, f: Callable, kind: str) -
 
     over.__annotations__ = {"v": Series, "return": {"double": float, "bigint": int, "string": str}[kind]}
     spark.udf.register(name, F.pandas_udf(over, kind))
+
+
+def register_table_function(spark: SparkSession, name: str, f: Callable[..., Iterator[tuple]], schema: str) -> None:
+    """A function from values to rows, callable in FROM, with LATERAL also on columns."""
+
+    class Rows:
+        def eval(self, *values):
+            yield from f(*values)
+
+    spark.udtf.register(name, F.udtf(Rows, returnType=schema))

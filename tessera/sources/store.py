@@ -24,6 +24,7 @@ HIDDEN = ("_row_id", "_epoch")
 UNITS = {"nanosecond": 1, "microsecond": 10**3, "millisecond": 10**6, "second": 10**9, "minute": 60 * 10**9, "hour": 3600 * 10**9, "day": 86400 * 10**9, "week": 7 * 86400 * 10**9}
 
 
+ORDERED = ("bigint", "double", "date", "timestamp")  # columns whose ends a run's manifest entry holds
 MOST_KEYS = 10_000  # idempotency keys that a store remembers
 MOST_RUNS = 128  # a table of more is compacted when it is committed
 
@@ -294,6 +295,20 @@ class Store:
         at = F.unix_micros(F.col(c.name)) * 1000 if c.type.startswith("timestamp") else F.col(c.name).cast("bigint")
         return F.coalesce(at + F.lit(spec.ttl), F.lit((1 << 63) - 1))
 
+    def statistics(self, name: str) -> dict | None:
+        """rows, and ends (least and greatest value as text) by column, from the manifest alone; None where rows have ended, may
+        expire, or a run holds none."""
+        table, spec = self.work["tables"][name], self.spec(name)
+        runs = table["runs"]
+        if spec.ttl_column or any(r["kind"] != "rows" or "rows" not in r or r.get("renames") for r in runs):
+            return None
+        ends: dict[str, list] = {}
+        for c in spec.columns:
+            held = [r["ends"].get(c.name) for r in runs if r["rows"]]
+            if all(h is not None for h in held) and (c.type in ORDERED or c.type.startswith("decimal")):
+                ends[c.name] = [[h[0] for h in held if h[0] is not None], [h[1] for h in held if h[1] is not None]]
+        return {"rows": sum(r["rows"] for r in runs), "ends": ends}
+
     def view(self, name: str) -> DataFrame:
         return self.spark.sql(self.work["views"][name])
 
@@ -358,7 +373,10 @@ class Store:
             for c, most in zip(auto, top, strict=True):
                 numbered = numbered.withColumn(c, F.coalesce(F.col(c), F.lit(most or 0) + F.col("_row_id") - F.lit(table["next"] - 1)).cast(spec.column(c).type))
             done = self._run(name, numbered, "rows", stamp)
-        stats = done.agg(F.max("_row_id").alias("top"), F.count("*").alias("n")).first()
+        ordered = [c.name for c in spec.columns if c.type in ORDERED or c.type.startswith("decimal")]
+        ends = [f(F.col(c)).cast("string").alias(f"{w}_{c}") for c in ordered for w, f in (("min", F.min), ("max", F.max))]
+        stats = done.agg(F.max("_row_id").alias("top"), F.count("*").alias("n"), *ends).first()
+        table["runs"][-1] |= {"rows": stats["n"], "ends": {c: [stats[f"min_{c}"], stats[f"max_{c}"]] for c in ordered}}
         if stats["top"] is not None:
             table["next"] = max(table["next"], stats["top"] + 1)
             self.last_row_id = stats["top"]
@@ -528,8 +546,10 @@ class Store:
                 table, op = s["table"], s["op"]
                 if op in ("put", "upsert"):
                     spec = self.spec(table)
-                    names = [c for c in spec.names() if c in {k for r in s["rows"] for k in r}]
-                    df = s["rows"] if isinstance(s["rows"], DataFrame) else self.spark.createDataFrame([tuple(r.get(c) for c in names) for r in s["rows"]], ", ".join(f"`{c}` {spec.column(c).type}" for c in names))
+                    df = s["rows"]
+                    if not isinstance(df, DataFrame):
+                        names = [c for c in spec.names() if c in {k for r in s["rows"] for k in r}]
+                        df = self.spark.createDataFrame([tuple(r.get(c) for c in names) for r in s["rows"]], ", ".join(f"`{c}` {spec.column(c).type}" for c in names))
                     counts.append(self.insert(table, df, "update" if op == "upsert" else "error"))
                 elif op == "delete":
                     counts.append(self.delete(table, s["where"]))
@@ -552,6 +572,31 @@ class Store:
             self.rollback_to(point)
             raise
 
+    def apply_changes(self, name: str, changes: DataFrame, source: str, position: str, op: str = "op") -> int:
+        """Apply another database's change rows (op insert, update or delete; all columns of the table; an increasing position)
+        as one commit: of each key the last change counts. The position is kept with the store, so rows that were applied
+        before, also by a run that was cut off, are passed over."""
+        spec = self.spec(name)
+        done = self.work.get("positions", {}).get(source)
+        fresh = changes if done is None else changes.filter(F.col(position) > F.lit(done))
+        fresh = self._kept(name, fresh)
+        top = fresh.agg(F.max(position)).first()[0]
+        if top is None:
+            return 0
+        point = self.savepoint()
+        try:
+            whole = F.max_by(F.struct(*[c for c in fresh.columns if c not in spec.primary_key]), F.col(position)).alias("_last")
+            last = self._kept(name, fresh.groupBy(*spec.primary_key).agg(whole).select(*spec.primary_key, "_last.*"))
+            ended = self.read(name, hidden=True).join(last.filter(F.col(op) == "delete").select(*spec.primary_key), spec.primary_key, "left_semi")
+            n = self.delete_rows(name, ended)
+            n += self.insert(name, last.filter(F.col(op) != "delete").select(*spec.names()), "update")
+            self.work["positions"] = {**self.work.get("positions", {}), source: top}
+            self.commit()
+            return n
+        except Exception:
+            self.rollback_to(point)
+            raise
+
     # Constraints
 
     def _check(self, name: str, new: DataFrame) -> None:

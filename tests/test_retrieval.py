@@ -12,6 +12,9 @@ from tessera.operators import retrieval as V
 from tessera.operators import text as T
 from tessera.operators.conditions import page
 from tessera.sources import io
+from tessera.sources.store import Files
+
+SF = "/root/testdata/sf0.001"
 
 #: Fixed values of the member hash.
 GOLDEN = {'"1"': 4601219942126179299, '"雪"': 1583573578914089563, "1": 6001628596940409521, "1.5": 2954746858305776003, "true": 16169524375275942869, "false": 8386526569404862294}
@@ -79,21 +82,71 @@ def test_hybrid_filters_before_ranking(spark):
 
 
 def test_text_search(spark):
-    df = spark.createDataFrame([(1, "Rust database internals"), (2, "SQLite compatibility notes"), (3, "Rust query planner"), (4, None)], "id long, t string")
+    texts = [(11, "Tidal mill by the old harbour"), (12, "A wind mill on the hill"), (13, "The harbour at low tide"), (14, None), (15, "mill mill stone")]
+    df = spark.createDataFrame(texts, "id long, t string")
     ids = lambda q: sorted(r["id"] for r in T.search(df, "t", q, "id").collect())
-    assert ids("rust") == [1, 3] and ids("rust -query") == [1] and ids("sqlite OR planner") == [2, 3] and ids('"rust query"') == [3] and ids("comp*") == [2] and ids("NOT rust") == []
-    row = T.search(df, "t", "database", "id").first()
-    assert (row["rank"], row["snippet"], row["highlight"]) == (1.0, "Rust [database] internals", "Rust <b>database</b> internals")
+    assert ids("mill") == [11, 12, 15] and ids("mill -wind") == [11, 15] and ids("tide OR hill") == [12, 13] and ids('"wind mill"') == [12] and ids("tid*") == [11, 13] and ids("NOT mill") == []
+    assert [(r["id"], r["rank"]) for r in T.search(df, "t", "mill", "id").orderBy("search_rank").collect()] == [(15, 2.0), (11, 1.0), (12, 1.0)]
+    row = T.search(df, "t", "harbour tidal", "id").first()
+    assert (row["rank"], row["snippet"], row["highlight"]) == (2.0, "[Tidal] mill by the old ...", "<b>Tidal</b> mill by the old <b>harbour</b>")
+    long = spark.createDataFrame([(1, "one two three four five mast six seven mast nine ten")], "id long, t string")
+    assert T.search(long, "t", "mast", "id").first()["snippet"] == "... three four five [mast] six seven [mast] nine ..."
 
 
 def test_rectangles(spark):
-    df = spark.createDataFrame([(1, 0.0, 2.0, 0.0, 2.0), (2, 10.0, 12.0, 10.0, 12.0), (3, 1.5, 4.0, 1.5, 4.0), (4, None, 4.0, 1.5, 4.0)], "id long, a double, b double, c double, d double")
-    box = tuple(map(F.lit, (1.0, 3.0, 1.0, 3.0)))
-    assert sorted(r["id"] for r in df.filter(T.rtree_intersects(tuple(F.col(c) for c in "abcd"), box)).collect()) == [1, 3]
-    assert sorted(tuple(r) for r in T.rectangle_join(df, df, ("a", "b", "c", "d"), 1.0, "id", "id").collect()) == [(1, 1), (1, 3), (2, 2), (3, 1), (3, 3)]
+    rects = [(21, 0.0, 1.0, 0.0, 1.0), (22, 1.0, 3.5, 1.0, 2.0), (23, 7.0, 9.0, 0.5, 8.0), (24, 8.5, 8.6, 7.9, 8.4), (25, 0.0, None, 0.0, 1.0)]
+    df = spark.createDataFrame(rects, "id long, a double, b double, c double, d double")
+    box = tuple(map(F.lit, (3.0, 7.5, 1.5, 6.0)))
+    assert sorted(r["id"] for r in df.filter(T.rtree_intersects(tuple(F.col(c) for c in "abcd"), box)).collect()) == [22, 23]
+    whole = [r for r in rects if None not in r]
+    want = sorted((p[0], q[0]) for p in whole for q in whole if p[1] <= q[2] and q[1] <= p[2] and p[3] <= q[4] and q[3] <= p[4])
+    for cell in (0.4, 1.0, 50.0):
+        assert sorted(tuple(r) for r in T.rectangle_join(df, df, ("a", "b", "c", "d"), cell, "id", "id").collect()) == want
+
+
+def test_recall_of_the_registered_indexes(spark):
+    from tessera.plans.search import IVF_PROBES, members
+
+    sf = SF.replace("0.001", "0.01")
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    assert V.IvfIndex(e, "embedding", "vec_id", cells=16).recall(e.filter("vec_id % 20 = 0"), 10, IVF_PROBES) >= 0.9
+    docs = members(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("m"))).cache()
+    asked = docs.filter("doc_id % 5 = 0")
+    found = {(r["query_id"], r["id"]): r["exact_jaccard"] for r in V.minhash_search_all(docs, asked, "m", "doc_id", 20, 0.5).collect()}
+    rows = {r["doc_id"]: set(r["m"]) for r in docs.filter("m IS NOT NULL").collect()}
+    want = {}
+    for q in (i for i in rows if i % 5 == 0 and rows[i]):
+        near = sorted(((len(rows[q] & rows[i]) / len(rows[q] | rows[i]), -i) for i in rows if i != q and rows[i]), reverse=True)
+        want |= {(q, -i): s for s, i in near[:20] if s >= 0.5}
+    assert len(want) > 20 and set(found) <= set(want) and len(found) >= 0.9 * len(want) and all(abs(found[k] - want[k]) < 1e-12 for k in found)
+
+
+def test_copies_are_searched_once(spark):
+    words = lambda i: [f'"{i // 50}-{j}"' for j in range(12)]
+    df = spark.createDataFrame([(i, words(i)) for i in range(200)] + [(500, []), (501, None)], "id long, m array<string>")
+    got = V.minhash_search_all(df, df.filter("id % 20 = 0"), "m", "id", 3, 0.9).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append(r["id"])
+    assert {q: sorted(v) for q, v in by.items()} == {q: [i for i in range(q // 50 * 50, q // 50 * 50 + 50) if i != q][:3] for q in range(0, 200, 20)}
+
+
+def test_stored_cells(spark, vectors, tmp_path):
+    ix = V.IvfIndex(vectors, "v", "id", cells=8, path=str(tmp_path / "cells"))
+    plan = ix.search([0.1] * 8, 5, probes=2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_cell" in plan or "PartitionFilters: [_cell" in plan
+    assert ix.recall(vectors.filter("id % 20 = 0"), 10, 8) == 1.0
+
+
+def test_plans_evaluate_once(spark):
+    from tessera.plans.registry import queries
 
+    text = lambda n: queries()[n](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert text("jaccard_topk").count("array_intersect(") == 1 and text("fts_rank").count("regexp_extract_all(") == 1
+    assert "Join" not in text("sparse_topk") and "Join" not in text("join_asof")
 
-def test_sampled_and_incremental_aggregates(spark):
+
+def test_sampled_and_incremental_aggregates(spark, tmp_path):
     df = spark.range(20_000).select("id", (F.col("id") % 10).alias("c"), (F.col("id") * 2 + 1).alias("v"))
     e = R.approx_aggregate(df, "sum", "v", "id")
     true = sum(2 * i + 1 for i in range(20_000))
@@ -101,12 +154,33 @@ def test_sampled_and_incremental_aggregates(spark):
     small = R.approx_aggregate(df.filter("id < 1000"), "count", None, "id", F.col("c") == 3)
     assert (small.point, small.low, small.high) == (100.0, 100.0, 100.0)
     assert R.approx_aggregate(df, "count", None, "id").point == 20_000
-    state = R.IncrementalAggregate()
+    files = Files(spark, str(tmp_path))
+    state = R.IncrementalAggregate(files)
     after = lambda e: spark.range(e + 1, 11).select("id")
     assert state.call(after, 10, 0, "id")["incremental"] is False
-    later = state.call(lambda e: spark.range(e + 1, 21).select("id"), 20, 0, "id")
+    later = R.IncrementalAggregate(files).call(lambda e: spark.range(e + 1, 21).select("id"), 20, 0, "id")
     assert (later["sum"], later["count"], later["incremental"], later["delta_rows"]) == (210, 21, True, 10)
-    assert state.call(lambda e: spark.range(5).select("id"), 20, 1, "id")["incremental"] is False
+    assert R.IncrementalAggregate(files).call(lambda e: spark.range(5).select("id"), 20, 1, "id")["incremental"] is False
+
+
+def test_asof_join(spark):
+    left = spark.createDataFrame([(1, 1, 5), (2, 1, 10), (3, 1, 11), (4, 2, 9), (5, None, 9), (6, 1, None)], "id long, k long, t long")
+    right = spark.createDataFrame([(1, 6, 60), (1, 10, 100), (1, 10, 101), (2, 10, 1), (None, 1, 7), (1, None, 8)], "k long, t long, v long")
+    assert sorted(tuple(r) for r in R.asof_join(left, right, "k", "t", "t", "id", "v").collect()) == [(2, 101), (3, 101)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 40_000])
+def test_percentile_disc_of_a_table(spark, n):
+    from tessera.functions.aggregates import percentile_disc_table
+
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, None).otherwise("g").alias("g"), ((F.col("id") * 7919) % 9973).cast("double").alias("v"))
+    for p in (0.0, 0.3, 0.5, 0.999, 1.0):
+        got = {r["g"]: r["value"] for r in percentile_disc_table(df, "v", p, ["g"]).collect()}
+        want = {}
+        for g in (None, "g"):
+            if own := sorted(float((i * 7919) % 9973) for i in range(n) if (i % 3 == 0) == (g is None)):
+                want[g] = own[int(p * (len(own) - 1))]
+        assert got == want
 
 
 def test_series_recursion_and_pages(spark):
@@ -131,6 +205,31 @@ def test_tsv_modules_and_functions(spark, tmp_path):
     assert spark.read.format("squares").option("upto", 10).load().filter("n > 7").count() == 2
     io.register_scalar(spark, "plus_one", lambda s: s + 1, "bigint")
     io.register_aggregate(spark, "spread", lambda v: float(v.max() - v.min()), "double")
+    io.register_table_function(spark, "digits", lambda n: ((int(c),) for c in str(n)), "digit int")
+    assert [r[0] for r in spark.sql("SELECT digit FROM digits(407)").collect()] == [4, 0, 7]
+    assert spark.sql("SELECT id, digit FROM range(9, 12), LATERAL digits(id)").count() == 5
+    windowed = spark.sql("SELECT id, spread(id) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS s FROM range(5)")
+    assert [r["s"] for r in windowed.collect()] == [4.0] * 5
+    told = tmp_path / "told"
+    told.mkdir()
+
+    def put(options, rows):
+        n = 0
+        with open(f"{options['folder']}/part-{next(iter(()), 0)}-{id(rows)}", "w") as f:
+            for row in rows:
+                f.write(f"{row[0]}\\n")
+                n += 1
+        return n
+
+    def end(options, counts):
+        with open(f"{options['folder']}/total", "w") as f:
+            f.write(str(sum(counts)))
+
+    io.register_module(spark, "lines_out", "n long", lambda options, part, parts: iter(()), write=put, commit=end)
+    spark.range(25).withColumnRenamed("id", "n").write.format("lines_out").option("folder", str(told)).mode("append").save()
+    assert (told / "total").read_text() == "25"
+    io.bulk_load(spark.range(100), str(tmp_path / "bulk"), sort_by=["id"])
+    assert spark.read.parquet(str(tmp_path / "bulk")).count() == 100 and sum(1 for _ in io.stream_rows(spark.range(10))) == 10 and io.to_arrow(spark.range(3)).num_rows == 3
     assert spark.sql("SELECT plus_one(id) AS v FROM range(3)").count() == 3 and spark.sql("SELECT spread(id) AS v FROM range(9)").first()[0] == 8.0
 
 

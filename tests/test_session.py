@@ -1,6 +1,7 @@
 """The SQL session and its store: DDL, DML, constraints, transactions, time travel, views, changes."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.session import Session, rewrite, split_statements
 from tessera.sources.store import ConflictError, ConstraintError, Store, StoreError, ttl_nanos
@@ -312,3 +313,109 @@ def test_incremental_view_drops_more_groups_than_ten_thousand(s):
     s.sql("DELETE FROM t WHERE k >= 5")
     assert s.sql("REFRESH MATERIALIZED VIEW m").first()["refresh"] == "incremental"
     assert rows(s.sql("SELECT g, n, total FROM m")) == [(i, 1, i) for i in range(5)]
+
+
+def test_answers_from_the_manifest(s):
+    s.sql("CREATE TABLE t (id BIGINT PRIMARY KEY, at DATE, x DOUBLE, w TEXT); INSERT INTO t VALUES (5, DATE '2024-03-01', 1.5, 'a'), (9, NULL, -2, 'b'); INSERT INTO t VALUES (7, DATE '2023-01-01', 8, NULL)")
+    q = s.sql("SELECT count(*) AS n, min(id) AS a, max(x) AS b, min(at) AS c FROM t")
+    assert [str(v) for v in q.first()] == ["3", "5", "8.0", "2023-01-01"] and "parquet" not in q._jdf.queryExecution().executedPlan().toString().lower()
+    s.sql("DELETE FROM t WHERE id = 5")
+    assert tuple(s.sql("SELECT count(*) AS n, min(id) AS a FROM t").first()) == (2, 7) and s.store.statistics("t") is None
+
+
+def test_shadows_follow_changes(s):
+    s.sql("CREATE TABLE t (id BIGINT PRIMARY KEY); INSERT INTO t VALUES (1), (2)")
+    s.shadow("t")
+    assert "InMemoryTableScan" in s.sql("SELECT id FROM t WHERE id > 1")._jdf.queryExecution().executedPlan().toString()
+    s.sql("INSERT INTO t VALUES (3)")
+    assert rows(s.sql("SELECT id FROM t WHERE id > 1")) == [(2,), (3,)] and not s.shadows
+
+
+def test_ingest_goes_on_where_it_stopped(s, spark):
+    from tessera.sources import io
+
+    s.sql("CREATE TABLE t (id BIGINT PRIMARY KEY, v TEXT)")
+    part = lambda a, b: lambda: spark.range(a, b).selectExpr("id", "CAST(id AS STRING) AS v")
+
+    def broken():
+        raise RuntimeError("the other database went away")
+
+    with pytest.raises(RuntimeError):
+        io.copy_snapshot(s.store, "t", {"a": part(0, 3), "b": broken})
+    assert io.copy_snapshot(s.store, "t", {"a": part(0, 3), "b": part(3, 5)}) == ["b"]
+    log = [(1, "update", 1, "x"), (2, "delete", 0, None), (3, "insert", 9, "n"), (4, "update", 1, "y")]
+    frame = lambda upto: spark.createDataFrame(log[:upto], "pos long, op string, id long, v string")
+    assert s.store.apply_changes("t", frame(2), "src", "pos") == 2
+    assert s.store.apply_changes("t", frame(4), "src", "pos") == 2 and s.store.apply_changes("t", frame(4), "src", "pos") == 0
+    assert rows(s.sql("SELECT * FROM t")) == [(1, "y"), (2, "2"), (3, "3"), (4, "4"), (9, "n")]
+
+
+def test_backups_keep_what_belongs_to_tables(s, tmp_path, spark):
+    s.sql("CREATE TABLE t (id BIGINT PRIMARY KEY, g TEXT NOT NULL); INSERT INTO t VALUES (1, 'a'); CREATE MATERIALIZED VIEW m AS SELECT g, count(*) AS n FROM t GROUP BY g")
+    s.sql("CREATE TABLE log (id BIGINT); CREATE TRIGGER tr AFTER INSERT ON t BEGIN INSERT INTO log VALUES (NEW.id); END")
+    s.sql("""CREATE PROCEDURE p AS '{"params": [], "steps": [{"kind": "query", "sql": "SELECT count(*) AS n FROM t"}]}'""")
+    s.sql(f"VACUUM INTO '{tmp_path}/copy'")
+    other = Session(spark, f"{tmp_path}/copy")
+    other.sql("INSERT INTO t VALUES (2, 'b'); REFRESH MATERIALIZED VIEW m")
+    assert rows(other.sql("SELECT * FROM log")) == [(2,)] and rows(other.sql("SELECT * FROM m")) == [("a", 1), ("b", 1)] and rows(other.sql("CALL p()")) == [(2,)]
+    assert other.sql("DESCRIBE PROCEDURE p").count() == 1
+
+
+def test_percentile_arguments(s, spark):
+    plain = Session(spark)
+    for bad in ("percentile(x, 101)", "percentile_cont(x, -0.1)", "percentile_disc(x, NULL)", "percentile(x, x)"):
+        with pytest.raises(ValueError):
+            plain.sql(f"SELECT {bad} FROM VALUES (1) AS t(x)")
+    with pytest.raises(Exception, match="infinite"):
+        plain.sql("SELECT median(x) FROM VALUES (double('infinity')), (1) AS t(x)").collect()
+    assert plain.sql("SELECT median(x) AS m FROM VALUES (double('NaN')), (1), (3), (NULL) AS t(x)").first()[0] == 2.0
+
+
+@pytest.mark.parametrize(("text", "want"), [("quote('it''s')", "'it''s'"), ("'a\\b'", "a\\b"), ("regexp('^\\d+$', '12')", 1), ("json_extract('{\"a\":\"x\\ny\"}', '$.a')", "x\ny"), ("json_type('[1.0]', '$[0]')", "real"), ("CAST('7' AS CHAR(3))", "7"), ("max(1, NULL)", None), ("char(72, 105)", "Hi"), ("glob('a[0-9]', 'a5')", 1), ("like('a\\%', 'a%', '\\')", 1), ("printf('%d%%', 5)", "5%"), ("soundex('')", "?000")])
+def test_values_in_sql(spark, text, want):
+    assert Session(spark).sql(f"SELECT {text} AS v").first()[0] == want
+
+
+def test_joins_take_the_strategy_that_sizes_call_for(spark, tmp_path):
+    big, small = spark.range(100_000).selectExpr("id AS k", "id AS v"), spark.range(50).selectExpr("id AS k")
+    for n, df in (("big", big), ("small", small)):
+        df.write.parquet(str(tmp_path / n))
+    plan = lambda a, b: a.join(b, "k")._jdf.queryExecution().executedPlan().toString()
+    read = lambda n: spark.read.parquet(str(tmp_path / n))
+    assert "BroadcastHashJoin" in plan(read("big"), read("small"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        apart = plan(read("big"), read("small"))
+        assert "SortMergeJoin" in apart and apart.count("Exchange") >= 2
+        for n in ("big", "small"):
+            read(n).write.bucketBy(4, "k").sortBy("k").mode("overwrite").option("path", str(tmp_path / f"b_{n}")).saveAsTable(f"tessera_b_{n}")
+        beside = plan(spark.table("tessera_b_big"), spark.table("tessera_b_small"))
+        assert "SortMergeJoin" in beside and "Exchange" not in beside
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for n in ("big", "small"):
+            spark.sql(f"DROP TABLE IF EXISTS tessera_b_{n}")
+
+
+def test_event_windows(spark):
+    from tessera.streaming.windows import sessions, windowed
+
+    df = spark.createDataFrame([("a", "2024-01-01 00:01:00", 1), ("a", "2024-01-01 00:09:00", 2), ("a", "2024-01-01 00:11:00", 3), ("b", "2024-01-01 00:30:00", 4)], "u string, t string, v long").withColumn("t", F.col("t").cast("timestamp"))
+    got = {(r["u"], r["start"].minute): (r["n"], r["total"]) for r in windowed(df, "t", ["u"], "v", "10 minutes").collect()}
+    assert got == {("a", 0): (2, 3), ("a", 10): (1, 3), ("b", 30): (1, 4)}
+    assert len(windowed(df, "t", ["u"], "v", "10 minutes", "5 minutes").collect()) == 6
+    assert sorted((r["u"], r["n"]) for r in sessions(df, "t", ["u"], "5 minutes").collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_event_windows_of_a_stream(spark, tmp_path):
+    from tessera.streaming.windows import windowed
+
+    make = lambda rows, n: spark.createDataFrame(rows, "t string, v long").withColumn("t", F.col("t").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in" / n))
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    # The third run's first row is later than the watermark allows; its second moves the watermark on.
+    for n, part in enumerate(([("2024-01-01 00:01:00", 1), ("2024-01-01 00:02:00", 2)], [("2024-01-01 01:00:00", 5)], [("2024-01-01 00:03:00", 100), ("2024-01-01 03:00:00", 6)])):
+        make(part, str(n))
+        stream = spark.readStream.schema("t timestamp, v long").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        q = windowed(stream, "t", [], "v", "10 minutes").writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert [(r["n"], r["total"]) for r in spark.read.parquet(out).orderBy("start").collect()] == [(2, 3), (1, 5)]
