@@ -222,6 +222,10 @@ class Store:
                 return
             raise StoreError(f"no table {name!r}")
         del self.work["tables"][name]
+        rules = self.work.get("security", {})
+        for home in ("policies", "masks"):
+            if home in rules:
+                rules[home] = [r for r in rules[home] if r["table"] != name]
 
     def spec(self, name: str, state: dict | None = None) -> TableSpec:
         tables = (state or self.work)["tables"]
@@ -234,7 +238,19 @@ class Store:
 
     def rename_table(self, old: str, new: str) -> None:
         self.spec(old)
+        if new in self.work["tables"]:
+            raise StoreError(f"table {new!r} exists")
         self.work["tables"][new] = self.work["tables"].pop(old)
+        for table in self.work["tables"].values():
+            for fk in table["spec"]["foreign_keys"]:
+                fk["table"] = new if fk["table"] == old else fk["table"]
+        rules = self.work.get("security", {})
+        for entry in [*self.work["triggers"].values(), *rules.get("policies", []), *rules.get("masks", [])]:
+            entry["table"] = new if entry["table"] == old else entry["table"]
+        if old in rules.get("enabled", []):
+            rules["enabled"] = sorted({*rules["enabled"], new} - {old})
+        if old in self.work.get("virtual", {}):
+            self.work["virtual"][new] = self.work["virtual"].pop(old)
 
     def add_column(self, table: str, column: ColumnSpec) -> None:
         spec = self.spec(table)

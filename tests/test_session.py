@@ -164,6 +164,23 @@ def test_triggers_of_rows(s):
         s.sql("INSERT INTO moves (item) VALUES (1)")
 
 
+def test_rules_follow_a_renamed_table(s, spark):
+    s.sql("CREATE TABLE a (id BIGINT PRIMARY KEY, who TEXT); CREATE TABLE log (id BIGINT); CREATE TRIGGER t AFTER INSERT ON a BEGIN INSERT INTO log VALUES (NEW.id); END")
+    s.sql("ALTER TABLE a ENABLE ROW LEVEL SECURITY; CREATE POLICY p ON a USING (who = CURRENT_USER); ALTER TABLE a RENAME TO b; INSERT INTO b VALUES (1, 'kim'), (2, 'lee')")
+    assert rows(s.sql("SELECT id FROM log")) == [(1,), (2,)]
+    kim = Session(spark, s.store.path, principal="kim")
+    assert rows(kim.sql("SELECT id, CURRENT_USER AS me FROM b")) == [(1, "kim")]
+    with pytest.raises(StoreError, match="exists"):
+        s.sql("ALTER TABLE log RENAME TO b")
+
+
+def test_views_of_spark_are_not_cached(spark):
+    plain = Session(spark)
+    for n in (1, 2):
+        spark.range(n).createOrReplaceTempView("tessera_moving")
+        assert plain.sql("SELECT count(*) AS n FROM tessera_moving").first()[0] == n
+
+
 def test_ddl(s):
     s.sql("CREATE TABLE audit (id BIGINT AUTO_INCREMENT, note TEXT); INSERT INTO audit (note) VALUES ('one'), ('two')")
     s.sql("ALTER TABLE audit ADD COLUMN extra BIGINT; ALTER TABLE audit RENAME COLUMN note TO words; ALTER TABLE audit RENAME TO log")
