@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json as _json
 import math
+import os
 import re
 from collections.abc import Callable, Iterator
 from datetime import date, datetime
@@ -433,6 +434,9 @@ def batched(f: Callable, kind: str):
 def register(spark: SparkSession, text: str) -> None:
     """The functions named tessera_... in a text, each once a session."""
     have = spark.__dict__.setdefault("_tessera_functions", set())
+    own, here = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if here not in own.get("PYTHONPATH", "").split(os.pathsep):  # workers that start without the package's folder
+        own["PYTHONPATH"] = os.pathsep.join(filter(None, [here, own.get("PYTHONPATH")]))
     for name in set(re.findall(rf"\b{PREFIX}(\w+)\s*\(", text)) & set(BATCHED) - have:
         spark.udf.register(PREFIX + name, batched(*BATCHED[name]))
         have.add(name)
