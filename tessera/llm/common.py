@@ -7,13 +7,13 @@ keeping blocks on one executor, so a lost executor costs a re-read and not a res
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,6 +104,13 @@ def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", most:
     return docs.join(side, docs[id_col].cast("long") == side[name], "left_anti")
 
 
+def tidy() -> None:
+    """Give memory that a worker holds and does not use back to the system: Spark keeps workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def spare(df: DataFrame, name: str) -> str:
     """A column name that df does not have in any case."""
     taken = {c.lower() for c in df.columns}
@@ -150,20 +157,26 @@ def tree_merge(df: DataFrame, zero: Callable[[], object], add: Callable[[object,
     number of chunks; the first round spreads a key over `fan` tasks, so no key meets in one task before it is small.
     """
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, acc = None, None
-        for pdf in batches:
-            for key, chunk, blob in zip(pdf["key"], pdf["chunk"], pdf["blob"], strict=True):
-                if at != (key, chunk):
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at[0]]), pa.array([at[1]], pa.int64()), pa.array([dump(acc)], pa.binary())], names=["key", "chunk", "blob"])
+
+        for batch in batches:
+            for key, chunk, blob in zip(*(batch.column(c) for c in ("key", "chunk", "blob")), strict=True):
+                now = (key.as_py(), chunk.as_py())
+                if at != now:
                     if at is not None:
-                        yield pd.DataFrame({"key": [at[0]], "chunk": [at[1]], "blob": [dump(acc)]})
-                    at, acc = (key, chunk), zero()
-                acc = add(acc, blob)
+                        yield row()
+                    at, acc = now, zero()
+                acc = add(acc, blob.as_py())
         if at is not None:
-            yield pd.DataFrame({"key": [at[0]], "chunk": [at[1]], "blob": [dump(acc)]})
+            yield row()
+        tidy()
 
     def round_of(part: DataFrame) -> DataFrame:
-        return part.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInPandas(merge, schema)
+        return part.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(merge, schema)
 
     schema = "key string, chunk long, blob binary"
     first = round_of(df.withColumn("chunk", F.pmod("chunk", F.lit(fan))))

@@ -21,14 +21,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialize, slices, spare
+from tessera.llm.common import materialize, slices, spare, tidy
 
 STRIPPED = " \t\n\x0b\x0c\r"
 HASHES, SEGMENT_BITS, FLUSH = 2, 23, 1 << 20
@@ -63,24 +62,32 @@ class SegmentPair:
 def _merge_segments(df: DataFrame, groups: int) -> DataFrame:
     """Rows (segment, chunk, once, twice: positions as bytes) merged to one row for each segment and chunk modulo groups."""
 
-    def dump(key: tuple[int, int], pair: SegmentPair) -> pd.DataFrame:
-        return pd.DataFrame({"segment": [key[0]], "chunk": [key[1]], "once": [np.flatnonzero(pair.once).astype(np.uint32).tobytes()], "twice": [np.flatnonzero(pair.twice).astype(np.uint32).tobytes()]})
+    def dump(key: tuple[int, int], pair: SegmentPair) -> pa.RecordBatch:
+        return segment_rows([key], [np.flatnonzero(pair.once)], [np.flatnonzero(pair.twice)])
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = pair = None
-        for pdf in batches:
-            for segment, chunk, once, twice in zip(pdf["segment"], pdf["chunk"], pdf["once"], pdf["twice"], strict=True):
-                if key != (segment, chunk):
+        for batch in batches:
+            for segment, chunk, once, twice in zip(*(batch.column(c) for c in ("segment", "chunk", "once", "twice")), strict=True):
+                now = (segment.as_py(), chunk.as_py())
+                if key != now:
                     if key is not None:
                         yield dump(key, pair)
-                    key, pair = (segment, chunk), SegmentPair()
-                pair.add(np.frombuffer(once, np.uint32), np.frombuffer(twice, np.uint32))
+                    key, pair = now, SegmentPair()
+                pair.add(np.frombuffer(once.as_buffer(), np.uint32), np.frombuffer(twice.as_buffer(), np.uint32))
         if key is not None:
             yield dump(key, pair)
+        tidy()
 
     # Sorted, so that a task holds the bits of one segment at a time.
     dealt = df.withColumn("chunk", F.pmod("chunk", F.lit(groups))).repartition("segment", "chunk")
-    return dealt.sortWithinPartitions("segment", "chunk").mapInPandas(merge, df.schema)
+    return dealt.sortWithinPartitions("segment", "chunk").mapInArrow(merge, df.schema)
+
+
+def segment_rows(keys: list[tuple[int, int]], once: list[np.ndarray], twice: list[np.ndarray]) -> pa.RecordBatch:
+    """(segment, chunk, once, twice) rows with positions as bytes."""
+    packed = [pa.array([x.astype(np.uint32).tobytes() for x in places], pa.binary()) for places in (once, twice)]
+    return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)] + packed, names=["segment", "chunk", "once", "twice"])
 
 
 def bits_for(docs: DataFrame, text_col: str) -> int:
@@ -94,10 +101,10 @@ def twice_seen(docs: DataFrame, text_col: str, min_chars: int, filter_bits: int)
     """The twice-seen filter of all line keys, as packed bytes: filter_bits / 8 of them."""
     segments = max(1, filter_bits >> SEGMENT_BITS)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[int] = []
 
-        def flush() -> Iterator[pd.DataFrame]:
+        def flush() -> Iterator[pa.RecordBatch]:
             keys, counts = np.unique(np.array(held, dtype=np.uint64), return_counts=True)
             at, again = positions(keys, filter_bits), positions(keys[counts > 1], filter_bits)
             once, twice = np.unique(at), np.unique(again)
@@ -105,7 +112,7 @@ def twice_seen(docs: DataFrame, text_col: str, min_chars: int, filter_bits: int)
             for s in range(segments):
                 pick = [x[(x >> SEGMENT_BITS) == s] & ((1 << SEGMENT_BITS) - 1) for x in (once, twice)]
                 if len(pick[0]):
-                    yield pd.DataFrame({"segment": [s], "chunk": [chunk], "once": [pick[0].astype(np.uint32).tobytes()], "twice": [pick[1].astype(np.uint32).tobytes()]})
+                    yield segment_rows([(s, chunk)], pick[:1], pick[1:])
             held.clear()
 
         for batch in batches:
@@ -115,12 +122,9 @@ def twice_seen(docs: DataFrame, text_col: str, min_chars: int, filter_bits: int)
                 if len(held) >= FLUSH:
                     yield from flush()
         yield from flush()
+        tidy()
 
-    def to_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pdf in emit(batches):
-            yield pa.RecordBatch.from_pandas(pdf, preserve_index=False, schema=pa.schema([("segment", pa.int64()), ("chunk", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())]))
-
-    chunks = docs.select(text_col).mapInArrow(to_arrow, "segment long, chunk long, once binary, twice binary")
+    chunks = docs.select(text_col).mapInArrow(emit, "segment long, chunk long, once binary, twice binary")
     merged = _merge_segments(_merge_segments(chunks, 64), 1)
     bits = np.zeros(max(filter_bits, 1 << SEGMENT_BITS) // 8, dtype=np.uint8)
     for row in merged.select("segment", "twice").toLocalIterator():
@@ -152,6 +156,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             picked = [keys[i] for i in np.flatnonzero(hit)]
             both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, picked)), dtype=">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([ids[i] for i in np.flatnonzero(hit)], pa.int64())], names=["k1", "k2", "doc"])
+        tidy()
 
     rows = docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col]).filter(F.col(id_col).isNotNull()).mapInArrow(suspects, "k1 long, k2 long, doc long")
     found = materialize(rows, "suspects")
@@ -195,6 +200,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
             for batch in slices(batches, text_col):
                 yield rewrite(batch, [drop] * batch.num_rows)
+            del holder
+            tidy()
 
         return base.mapInArrow(by_table, schema)
 
