@@ -1,6 +1,7 @@
 """The opN_ queries and the pipeline against their SQL on the smallest tables; the native ones run no Python."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,3 +66,18 @@ def test_pipeline_leaves_its_last_table_alone(spark, tmp_path):
     rows = corpus_pipeline.run(spark, SF).count()
     left = set(os.listdir(home)) - before
     assert rows > 0 and len(left) == 1 and next(iter(left)).startswith("stage-mixing")
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """They go with the write, whether or not the driver collects its garbage; settings are as they were."""
+    from tessera.llm.common import CLEANUP, materialize
+
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {x for top in folders for _, _, names in os.walk(top) for x in names if x.startswith("shuffle_")}
+    earlier, settings = files(), {n: spark.conf.get(n) for n in CLEANUP}
+    docs = spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    assert sorted(map(tuple, materialize(docs, "counts").collect())) == [(k, 715 if k < 2 else 714) for k in range(7)]
+    end = time.monotonic() + 10  # files are removed beside the job
+    while files() - earlier and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not files() - earlier and {n: spark.conf.get(n) for n in CLEANUP} == settings
