@@ -1,6 +1,6 @@
 """Operator 8, language-model scoring: a gated recurrent model beside an add-0.1 unigram, both learned from the corpus.
 
-1. Token counts of all training texts are summed by Spark: c of every token, N of all, V of distinct ones.
+1. Each task counts its training texts' tokens batch by batch, Spark sums them: c of every token, N of all, V of distinct ones.
 2. The most frequent tokens of at most TOKEN_BYTES bytes, at most `dictionary` of them (those with at least the count that
    this bound allows), go to every worker as a dictionary with their counts, so its size is bounded. Tokens outside it are
    handed on as rows and joined to the counts, so every token of every text is scored with its exact count, however large
@@ -20,16 +20,16 @@ result; only id, text and the fold enter the work, so further columns never clas
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, materialize, slices, split_words, tree_merge
+from tessera.llm.common import materialize, slices, tidy, tree_merge
 from tessera.llm.gru import GatedLm
 
 END, OTHER, RESERVED = 0, 1, 2
@@ -37,15 +37,39 @@ SLICE = 1 << 17  # parameters averaged in one row
 TOKEN_BYTES = 256
 
 
-class Dictionary(dict):
-    """Token to rank by frequency; -1 for others."""
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts in a row, how many each has): maximal runs without ASCII blanks, A-Z lower-cased; null has none."""
+    texts = pc.ascii_trim_whitespace(texts)
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    blank = pc.fill_null(pc.equal(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False)
+    words = words.flatten()
+    if blank.any():  # one empty word to Arrow
+        words, sizes = words.filter(pc.greater(pc.binary_length(words), 0)), np.where(blank, 0, sizes)
+    return words, sizes
 
-    def __missing__(self, token: bytes) -> int:
-        return -1
 
+def ranks_of(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """Place of each word among the known ones; -1 for others."""
+    return pc.fill_null(pc.index_in(words, value_set=known.cast(words.type)), -1).to_numpy(zero_copy_only=False)
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()  # bytes: both know ASCII alone
+
+def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens and how often each batch's texts have them; '' is the end."""
+    for batch in slices(batches, "text", most_bytes=32 << 20, most_rows=1 << 14):
+        found = words_of(batch.column("text"))[0].value_counts()
+        for token, c in ((found.field(0), found.field(1)), (pa.array([""]), pa.array([batch.num_rows]))):
+            yield from slices(iter([pa.RecordBatch.from_arrays([token.cast(pa.string()), c.cast(pa.int64())], names=["token", "c"])]), most_rows=1 << 16)
+    tidy()
+
+
+def repeats(owner: np.ndarray, tokens: pa.Array, texts: int) -> pa.Array:
+    """A list for each text of its tokens, each once with how often it occurs; owner is each token's text, in order."""
+    met = pa.table({"owner": owner, "token": tokens}).group_by(["owner", "token"], use_threads=False).aggregate([([], "count_all")])
+    met = met.sort_by("owner").combine_chunks()
+    offsets = np.r_[0, np.bincount(met["owner"].to_numpy(), minlength=texts).cumsum()]
+    parts = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (met["token"].cast(pa.string()), met["count_all"].cast(pa.int64()))]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(parts, names=["token", "times"]))
 
 
 class LmScoring:
@@ -56,8 +80,8 @@ class LmScoring:
         self.training = self.docs.filter(~F.col("held_out"))
 
     def count(self) -> None:
-        words = self.training.select(F.explode(F.concat(split_words(ascii_lower(F.col("text"))), F.array(F.lit("")))).alias("token"))  # '' is the end
-        self.counts = materialize(words.groupBy("token").agg(F.count("*").alias("c")), "counts")
+        words = self.training.select("text").mapInArrow(tally, "token string, c long")
+        self.counts = materialize(words.groupBy("token").agg(F.sum("c").alias("c")), "counts")
         self.n, self.v = (int(x or 0) for x in self.counts.agg(F.sum("c"), F.count("*")).first())
         self.n_end = int((self.counts.filter("token = ''").agg(F.sum("c")).first())[0] or 0)
         # The least count whose tokens fit the dictionary; equal counts go in or stay out together.
@@ -69,10 +93,8 @@ class LmScoring:
             least = row["c"]
         chosen = short.filter(F.col("c") >= F.lit(least if least is not None else 1 << 62))
         table = chosen.select(F.col("token").cast("binary").alias("token"), "c").toArrow()
-        c = table.column("c").to_numpy().astype(np.int64)
-        tokens = table.column("token").to_pylist()
-        order = sorted(range(len(tokens)), key=lambda i: (-c[i], tokens[i]))
-        self.tokens, self.c = [tokens[i] for i in order], c[order]
+        table = table.sort_by([("c", "descending"), ("token", "ascending")])
+        self.tokens, self.c = pa.concat_arrays(table.column("token").cast(pa.string()).chunks or [pa.array([], pa.string())]), table.column("c").to_numpy().astype(np.int64)
         known = self.c[: self.vocabulary - RESERVED]
         self.n_other, self.v_other = self.n - self.n_end - int(known.sum()), max(0, self.v - len(known) - (self.n_end > 0))
         self.start = GatedLm(np.r_[self.n_end, self.n_other, known], self.hidden)
@@ -87,25 +109,24 @@ class LmScoring:
         return self.training.filter((bucket >= low) & (bucket < high))
 
     def train(self, table) -> np.ndarray:
-        flat, top, model0 = self.start.flat(), self.vocabulary - RESERVED, self.start
+        flat, top, hidden = self.start.flat(), self.vocabulary - RESERVED, self.hidden
         for k in range(self.rounds):
             sent = self.spark.sparkContext.broadcast(flat)
 
             def fit(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                ranks = Dictionary((t, i) for i, t in enumerate(table.value[0][:top]))
+                ranks = table.value[0][:top]
                 model, tokens, texts, held = None, 0, [], 0
 
                 def learn() -> None:
                     nonlocal model, tokens
-                    model = model or GatedLm(np.ones(len(ranks) + RESERVED), model0.hidden).load(sent.value)
+                    model = model or GatedLm(np.ones(len(ranks) + RESERVED), hidden, seed=None).load(sent.value)
                     tokens += model.fit(texts)
 
                 for batch in slices(batches, "text"):
-                    for text in batch.column("text").to_pylist():
-                        own = words_of(text)
-                        got = np.fromiter(map(ranks.__getitem__, own), dtype=np.int64, count=len(own))
-                        texts.append(np.where(got < 0, OTHER, got + RESERVED))
-                        held += len(got)
+                    words, sizes = words_of(batch.column("text"))
+                    got = ranks_of(words, ranks)
+                    texts += np.split(np.where(got < 0, OTHER, got + RESERVED), sizes.cumsum()[:-1])
+                    held += len(got)
                     if held > 1 << 20:
                         learn()
                         texts, held = [], 0
@@ -115,6 +136,7 @@ class LmScoring:
                     own, head = model.flat(), np.float64(tokens).tobytes()
                     for k in range(0, own.size, SLICE):  # slices meet in tasks of their own, so none holds many models
                         yield pa.RecordBatch.from_arrays([pa.array([str(k)]), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([head + own[k : k + SLICE].tobytes()], pa.binary())], names=["key", "chunk", "blob"])
+                tidy()
 
             def add(held: tuple | None, blob: bytes) -> tuple:  # (tokens, sum of parameters by tokens); blobs hold the mean
                 n = np.frombuffer(blob, np.float64, 1)[0]
@@ -139,37 +161,37 @@ class LmScoring:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens, c = table.value
-            ranks = Dictionary((t, i) for i, t in enumerate(tokens))
-            base_of = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-            other_of = np.log10((c + 0.1) / (n_other + 0.1 * (v_other + 1)))
-            other_of[:top] = 0.0
+            # The last place, -1, is that of tokens outside the dictionary: they are joined later.
+            base_of = np.r_[np.log10((c + 0.1) / (n + 0.1 * (v + 1))), 0.0]
+            other_of = np.r_[np.log10((c + 0.1) / (n_other + 0.1 * (v_other + 1))), 0.0]
+            other_of[: min(len(c), top)] = 0.0
             base_end = float(np.log10((n_end + 0.1) / (n + 0.1 * (v + 1))))
-            lm = GatedLm(np.ones(min(len(tokens), top) + RESERVED), hidden).load(model.value)
+            lm = GatedLm(np.ones(min(len(tokens), top) + RESERVED), hidden, seed=None).load(model.value)
             row = TaskContext.get().partitionId() << 40
 
-            def flush(rows: list[tuple], texts: list[np.ndarray]) -> pa.RecordBatch:
-                scores = lm.score(texts) / np.log(10)
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), None, pa.list_(pa.struct([("token", pa.string()), ("times", pa.int64())]))]
-                data = [pa.array(scores + np.array(columns[6])) if kind is None else pa.array(list(col), kind) for col, kind in zip(columns, kinds, strict=True)]
-                return pa.RecordBatch.from_arrays(data, names=["row", "doc", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+            def flush(parts: list[tuple], texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+                scores, at = lm.score(texts) / np.log(10), 0
+                for *columns, other, rare in parts:
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(other + scores[at : at + len(other)]), rare], names=["row", "doc", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+                    at += len(other)
 
-            rows, texts, held = [], [], 0
+            parts, texts, held = [], [], 0
             for batch in slices(batches, "text"):
-                for doc, text, out in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("held_out").to_pylist(), strict=True):
-                    words = words_of(text)
-                    got = np.fromiter(map(ranks.__getitem__, words), dtype=np.int64, count=len(words))
-                    there = got >= 0
-                    rare = Counter(words[i].decode() for i in np.flatnonzero(~there))
-                    known = got[there]
-                    rows.append((row, doc, out, len(words) + 1, len(known) + (n_end > 0), float(base_of[known].sum()) + base_end, float(other_of[known].sum()), [{"token": t, "times": k} for t, k in rare.items()]))
-                    texts.append(np.where(there & (got < top), got + RESERVED, OTHER).astype(np.int32))
-                    row, held = row + 1, held + len(words) + 1
+                size = batch.num_rows
+                words, sizes = words_of(batch.column("text"))
+                got = ranks_of(words, tokens)
+                there, owner = got >= 0, np.repeat(np.arange(size), sizes)
+                total = lambda of, owner=owner, size=size: np.bincount(owner, weights=of, minlength=size)
+                parts.append((pa.array(row + np.arange(size)), batch.column("doc"), batch.column("held_out"), pa.array(sizes + 1), pa.array(total(there).astype(np.int64) + (n_end > 0)), pa.array(total(base_of[got]) + base_end), total(other_of[got]), repeats(owner[~there], words.filter(pa.array(~there)), size)))
+                texts += np.split(np.where(there & (got < top), got + RESERVED, OTHER), sizes.cumsum()[:-1])
+                row, held = row + size, held + len(got) + size
                 if held > 1 << 21:
-                    yield flush(rows, texts)
-                    rows, texts, held = [], [], 0
-            if rows:
-                yield flush(rows, texts)
+                    yield from flush(parts, texts)
+                    parts, texts, held = [], [], 0
+            if parts:
+                yield from flush(parts, texts)
+            del parts, texts
+            tidy()
 
         schema = "row long, doc long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<token: string, times: long>>"
         done = materialize(self.docs.mapInArrow(run, schema), "scores")

@@ -3,16 +3,18 @@
 import inspect
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm.gru import NAMES, GatedLm
 from tessera.llm.language_id import fold
-from tessera.llm.lm_scoring import LmScoring, score_texts
+from tessera.llm.lm_scoring import LmScoring, ranks_of, repeats, score_texts, words_of
 
 
 def test_gradients():
@@ -132,3 +134,57 @@ def test_the_registered_vocabulary_covers_most_tokens(spark):
     lm.count()
     assert lm.n_other < lm.n / 2
     assert GatedLm(np.ones(own["vocabulary"])).class_b.size <= 2 * own["vocabulary"] ** 0.5
+
+
+@pytest.mark.parametrize("words", [1, 3, 5, 70, 1000])
+def test_classes_of_unlike_size_share_one_distribution(words):
+    rnd = np.random.default_rng(2)
+    m = GatedLm(np.sort(rnd.integers(1, 500, words))[::-1], hidden=6)
+    for scale in (1, 30, 400):  # the last ones need each row's largest logit taken off
+        for name in ("class_w", "word_w", "tail_w"):
+            setattr(m, name, (rnd.standard_normal(getattr(m, name).shape) * 0.1 * scale).astype(np.float32))
+        h = np.tanh(rnd.standard_normal((1, 6))).astype(np.float32)
+        got = m.log_probs(np.repeat(h, words, axis=0), np.arange(words))
+        layers = {c: (w[k], b[k]) for first, w, b in m.layers() for k, c in enumerate(range(first, first + len(w)))}
+
+        def log_soft(w, b, h=h):
+            x = (h[0].astype(np.float64) @ w) + b
+            return x - x.max() - np.log(np.exp(x - x.max()).sum())
+
+        head = log_soft(m.class_w, m.class_b)
+        want = [head[m.group[i]] + (log_soft(*layers[int(m.group[i])])[m.cell[i]] if int(m.group[i]) in layers else 0) for i in range(words)]
+        assert got == pytest.approx(np.array(want), rel=1e-4, abs=1e-3)
+
+
+def test_gradients_of_large_weights():
+    rnd = np.random.default_rng(3)
+    m = GatedLm(rnd.integers(1, 50, 300), hidden=5)
+    for name in NAMES:
+        a = getattr(m, name).astype(np.float64)
+        setattr(m, name, a * 2000 if name in ("class_w", "tail_w") else a)
+    words, targets, fresh, h = rnd.integers(0, 300, (6, 4)), rnd.integers(0, 300, (6, 4)), rnd.random((6, 4)) < 0.2, np.zeros((4, 5))
+    loss, grads, _ = m.gradients(words, targets, fresh, h)
+    m.recur[1, 2] += 1e-7
+    more = m.gradients(words, targets, fresh, h)[0]
+    assert math.isfinite(loss) and (more - loss) / 1e-7 == pytest.approx(grads[1][1, 2], rel=1e-2, abs=1e-3)
+
+
+def test_frequent_words_need_few_logits():
+    """Of 2^14 words with counts by Zipf's law, a token needs much less than two square roots of them (256)."""
+    counts = 1e6 / np.arange(1, (1 << 14) + 1)
+    m = GatedLm(counts)
+    size = np.zeros(m.class_b.size)
+    for first, w, b in m.layers():
+        size[first : first + len(w)] = b.shape[1]
+    assert m.class_b.size + np.average(size[m.group], weights=counts) < 220
+    assert np.bincount(m.group * 1000 + m.cell).max() == 1  # each word has a place of its own
+
+
+def test_words_in_arrow_are_those_of_the_contract():
+    texts = ["", None, " ", "\x1c", " a  B\t\nc\x0b\x0cD\r", "X Y   É\x1cz\x1f \u0085 \x00 Q", "abc", "\n", "é" * 300 + " " + "É"]
+    words, sizes = words_of(pa.array(["skipped", *texts]).slice(1))
+    want = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")) for t in texts]
+    assert (words.to_pylist(), sizes.tolist()) == ([w for t in want for w in t], [len(t) for t in want])
+    assert ranks_of(words, pa.array(["c", "a"])).tolist() == [{"c": 0, "a": 1}.get(w, -1) for t in want for w in t]
+    owner = np.repeat(np.arange(4), [0, 3, 0, 2])
+    assert [{r["token"]: r["times"] for r in x} for x in repeats(owner, pa.array(["x", "y", "x", "x", "z"]), 5).to_pylist()] == [{}, {"x": 2, "y": 1}, {}, {"x": 1, "z": 1}, {}]
