@@ -238,3 +238,21 @@ def test_fts_match_returns_more_rows_than_ranked_search(spark, tmp_path):
 
     spark.range(10_050).selectExpr("id AS doc_id", "'Idiot clown' AS text").write.parquet(str(tmp_path / "documents.parquet"))
     assert queries()["fts_match"](spark, str(tmp_path)).filter("rank = 2").count() == 10_050
+
+
+def test_all_queries_meet_blocks_and_rows_without_a_vector_have_no_rank(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(V, "QUERY_ROWS", 3)
+    rows = [(i, [float(i % 7), float(i % 5), 0.5]) for i in range(60)] + [(100, None), (101, [1.0, 2.0]), (102, [1.0, None, 0.5])]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    found = V.exact_search_all(df, df.filter("id % 10 = 0"), "v", "id", 4)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    whole = [(i, v) for i, v in rows if v and len(v) == 3 and None not in v]
+    want = []
+    for q, x in whole:
+        if q % 10 == 0:
+            near = sorted((sum((a - b) ** 2 for a, b in zip(x, y, strict=True)) ** 0.5, i) for i, y in whole)[:4]
+            want += [(q, i, d, n + 1) for n, (d, i) in enumerate(near)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    index = V.IvfIndex(df.filter("id < 100"), "v", "id", cells=4)
+    assert sorted(map(tuple, index.search_all(df.filter("id < 100 AND id % 10 = 0"), 4, probes=4).collect())) == sorted(want)
