@@ -256,3 +256,15 @@ def test_all_queries_meet_blocks_and_rows_without_a_vector_have_no_rank(spark, m
     assert sorted(map(tuple, found.collect())) == sorted(want)
     index = V.IvfIndex(df.filter("id < 100"), "v", "id", cells=4)
     assert sorted(map(tuple, index.search_all(df.filter("id < 100 AND id % 10 = 0"), 4, probes=4).collect())) == sorted(want)
+
+
+def test_less_join_makes_no_pair_that_the_runs_rule_out(spark):
+    rnd = random.Random(4)
+    left = [(rnd.choice("abc"), i, float(rnd.randrange(40))) for i in range(300)] + [(None, 900, 1.0), ("a", 901, None)]
+    right = [(rnd.choice("abd"), i, float(rnd.randrange(-5, 45))) for i in range(200)] + [(None, 900, 50.0), ("a", 901, None)]
+    a, b = spark.createDataFrame(left, "k string, i long, low double"), spark.createDataFrame(right, "k string, j long, high double")
+    found = R.less_join(a, b, "k", "low", "high", room=16)
+    want = sorted((i, j) for k, i, x in left for m, j, y in right if k == m and k and None not in (x, y) and x < y)
+    assert sorted(map(tuple, found.select("i", "j").collect())) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_run" in plan and R.less_join(a, b.withColumn("high", b["high"] - 900), "k", "low", "high").count() == 0
