@@ -268,3 +268,13 @@ def test_less_join_makes_no_pair_that_the_runs_rule_out(spark):
     assert sorted(map(tuple, found.select("i", "j").collect())) == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "_run" in plan and R.less_join(a, b.withColumn("high", b["high"] - 900), "k", "low", "high").count() == 0
+
+
+def test_equal_rectangles_meet_as_one_row(spark):
+    rnd = random.Random(6)
+    boxes = [(x, x + rnd.randrange(4), y, y + rnd.randrange(4)) for x, y in ((rnd.randrange(12), rnd.randrange(12)) for _ in range(12))]
+    rows = [(i, *map(float, boxes[i % 12])) for i in range(150)] + [(None, *map(float, boxes[0]))]
+    df = spark.createDataFrame(rows, "id long, x0 double, x1 double, y0 double, y1 double")
+    found = T.rectangle_join(df, df, ("x0", "x1", "y0", "y1"), 5.0, "id", "id", most=4)
+    want = [(a[0], b[0]) for a in rows for b in rows if a[1] <= b[2] and b[1] <= a[2] and a[3] <= b[4] and b[3] <= a[4]]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
