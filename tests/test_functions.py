@@ -67,3 +67,16 @@ def test_aggregates(spark):
         A.percentile(F.col("v"), 101)
     with pytest.raises(Exception, match="infinite"):
         df.select(A.median(F.lit(math.inf))).collect()
+
+
+def test_equal_rows_of_a_batch_are_worked_out_once():
+    import pyarrow as pa
+
+    from tessera.functions.sql import BATCHED, _over_rows
+
+    calls = []
+    rows = (pa.array(["a", "a", None, "a", None, "b"]), pa.array([1, 1, 2, 1, None, 1]))
+    assert _over_rows(lambda *r: calls.append(r) or r, rows) == [("a", 1), ("a", 1), (None, 2), ("a", 1), (None, None), ("b", 1)] and len(calls) == 4
+    signs = pa.array([0.0, -0.0, None])
+    assert _over_rows(BATCHED["json_array"][0], (signs, pa.array([True, False, None]))) == ["[0.0,true]", "[-0.0,false]", "[null,null]"]
+    assert _over_rows(BATCHED["json_set"][0], (pa.array(['{"k":1}', '{"k":1}', "{"]), pa.array(["$.k"] * 3), pa.array([5, 6, 7]))) == ['{"k":5}', '{"k":6}', None]
