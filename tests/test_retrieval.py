@@ -278,3 +278,18 @@ def test_equal_rectangles_meet_as_one_row(spark):
     found = T.rectangle_join(df, df, ("x0", "x1", "y0", "y1"), 5.0, "id", "id", most=4)
     want = [(a[0], b[0]) for a in rows for b in rows if a[1] <= b[2] and b[1] <= a[2] and a[3] <= b[4] and b[3] <= a[4]]
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+
+
+def test_bitmaps_rule_out_no_similar_pair(spark):
+    rnd = random.Random(8)
+    base = [json.dumps(f"w{i}") for i in range(400)]
+    pairs = []
+    for _ in range(60):
+        a = set(rnd.sample(base, rnd.randrange(1, 120)))
+        b = (a | set(rnd.sample(base, rnd.randrange(20)))) - set(rnd.sample(sorted(a), len(a) // rnd.randrange(2, 9)))
+        pairs.append((sorted(a), sorted(b), len(a & b) / len(a | b)))
+    pairs += [(sorted(rnd.sample(base, 100)), sorted(rnd.sample(base, 100)), 0.0) for _ in range(20)]
+    df = spark.createDataFrame(pairs, "a array<string>, b array<string>, s double")
+    marked = df.select("s", F.size("a").alias("na"), F.size("b").alias("nb"), V.bitmaps(F.col("a")).alias("x"), V.bitmaps(F.col("b")).alias("y"))
+    got = marked.select("s", V._may_reach(F.col("na"), F.col("x"), F.col("nb"), F.col("y"), 0.5).alias("may")).collect()
+    assert all(r["may"] for r in got if r["s"] >= 0.5) and not any(r["may"] for r in got[60:])
